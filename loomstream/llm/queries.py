@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format
+from . import chat_format, quality_rules
 from .shared import read
 
 
@@ -41,5 +41,61 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-QUERIES = {"op8_chat_format": op8_chat_format}
-SQL = {"op8_chat_format": OP8_SQL}
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cascade = quality_rules.plan_cascade(docs, quality_rules.default_rules())
+    rest = [m for m in cascade if m.rule.name not in ("few_words", "repeated_words")]
+    t, w = F.col("__t"), F.col("__w")
+    counted = quality_rules.with_statistics(docs).select(
+        "doc_id",
+        "__t",
+        "__w",
+        F.size(w).cast("long").alias("n_words"),
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        quality_rules.n_symbols(t).alias("n_symbols"),
+        quality_rules.n_dup_lines(t).alias("n_dup_lines"),
+        quality_rules.n_repeat_words(w).alias("n_repeat_words"),
+    )
+    # The base columns are asked for in every row, so the cascade takes the two base rules from them.
+    few, repeated = F.col("n_words") < 10, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")
+    known = {"few_words": few, "repeated_words": repeated}
+    ordered = [quality_rules.Measured(quality_rules.Rule(m.rule.name, known[m.rule.name]), m.seconds, m.rejected) for m in cascade if m not in rest]
+    return counted.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (few | repeated).alias("base_failed"),
+        quality_rules.verdict([*ordered, *rest]).isNull().alias("kept"),
+    )
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+    [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t
+),
+grams AS (
+  SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)
+),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams),
+inside AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 5) r(j) WHERE n >= 2 GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words,
+    len(string_split(text, chr(10))) AS n_lines,
+    length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters
+  FROM w LEFT JOIN inside USING (doc_id)
+),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_letters + 10 OR 2 * n_letters < word_chars) AS kept
+FROM b
+""".replace("\\", "\\"[:1])
+
+QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op8_chat_format": op8_chat_format,
+}
+SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_format": OP8_SQL}
