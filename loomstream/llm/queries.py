@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, quality_rules
+from . import byte_bpe, chat_format, decontaminate, quality_rules, secret_scan
 from .shared import read
 
 
@@ -42,6 +42,10 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     cascade = quality_rules.plan_cascade(docs, quality_rules.default_rules())
@@ -118,6 +122,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat_format": op8_chat_format,
