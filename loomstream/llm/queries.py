@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, quality_rules, secret_scan
+from . import byte_bpe, chat_format, decontaminate, language_id, quality_classifier, quality_rules, secret_scan
 from .shared import read
 
 
@@ -42,6 +42,14 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    labels = read(spark, sf_dir, "labels").select("doc_id", "quality").where(third != 1)
+    scored, _ = quality_classifier.classify(docs, labels)
+    return scored.select("doc_id", (third == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
@@ -129,6 +137,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
