@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, quality_classifier, quality_rules, secret_scan
+from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secret_scan
 from .shared import read
 
 
@@ -122,6 +122,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.find_components(read(spark, sf_dir, "documents").select("doc_id", "text"), width=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.hit_spans(docs, read(spark, sf_dir, "benchmark"))
@@ -143,6 +148,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat_format": op8_chat_format,
+    "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 OP10_SQL = r"""
