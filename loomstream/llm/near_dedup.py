@@ -13,10 +13,12 @@ Texts with the same set are one class from the start, so copies cost one row eac
   threshold is less likely than the best estimate below it by a factor of exp(25).
 * Confirmation: all other pairs are compared on their full sets, from the texts.
 
-Pairs inside a band are not all formed.  First every class meets the first class of its bands; linked ones
-are joined to components; then only classes of different components that share a band still meet, each time
-with the first class of another kind of order, and what is then still apart meets pair by pair.  So no link
-between components is lost, and a family of near copies costs a few pairs a copy.
+Pairs inside a band are not all formed.  First every class meets the first class of its bands alone, and
+linked ones are joined to components.  Only bands that then still hold several components need more: their
+classes, clustered by the bands they share, are dealt out in pairs of blocks of bounded size, and each task
+compares the two blocks in memory, classes of different components only, and returns the links that join
+components.  So no link between components is lost, no task gets an unbounded group, and a family of near copies costs a few rows
+a copy.
 
 Components spread by joins (least neighbour, then label of the label) over tables in the shared folder.
 
@@ -40,8 +42,8 @@ M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 BANDS = M // ROWS
 #: Difference of log-likelihoods at which a candidate is dropped unseen.
 CERTAIN = 25.0
-#: Rounds in which unresolved classes meet one class of their band before they meet all.
-STAR_ROUNDS = 3
+#: Classes of a block; clusters of more than so many blocks are taken band by band.
+BLOCK, MOST_BLOCKS = 256, 16
 
 _SEEDS = mix(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -210,6 +212,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def apart_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, comp of the bands that hold classes of several components."""
+    placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high"))
+    return materialise(placed.join(several.select("key"), "key"), "near-apart")
+
+
+def compare_blocks(apart: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold_percent: int) -> DataFrame:
+    """Links (a, b) that join components of apart, each confirmed on full sets."""
+    first = apart.groupBy("key").agg(F.min("node").alias("a"))
+    ties = materialise(apart.join(first, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "near-ties")
+    clusters = components(ties).withColumnRenamed("label", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    where = F.when(F.col("size") <= BLOCK * MOST_BLOCKS, F.concat(F.lit("cluster "), F.col("cluster"))).otherwise(F.concat(F.lit("band "), F.col("key")))
+    grouped = apart.join(clusters.join(sizes, "cluster"), "node").select("node", "comp", where.alias("at")).distinct()
+    blocks = grouped.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = grouped.join(blocks, "at").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = materialise(dealt, "near-dealt")
+    wanted = texts.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    known = materialise(nodes.select("node", "n", "regs", "keys").join(wanted, "node"), "near-known")
+    full = dealt.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "regs", "keys", "text")
+    kind = nodes.schema["node"].dataType.simpleString()
+    return materialise(full.groupBy("at", "i", "j").applyInArrow(block_links(width, threshold_percent), f"a {kind}, b {kind}").distinct(), "near-links")
+
+
+def block_links(width: int, threshold_percent: int):
+    def of(group: pa.Table) -> pa.Table:
+        node, comp, own = (group.column(c).to_pylist() for c in ("node", "comp", "own"))
+        n = np.asarray(group.column("n")).astype(float)
+        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+        keys = np.array(group.column("keys").to_pylist(), np.int64)
+        sets: list[np.ndarray] = []
+        for batch in group.select(["text"]).to_batches():
+            for _, data, offsets in slices(batch, "text"):
+                h, first = shingle_sets(data, offsets, width)
+                sets += [h[first[k] : first[k + 1]] for k in range(len(first) - 1)]
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(place, kind="stable")
+        holders, begin = owner[order], np.searchsorted(place[order], np.arange(len(values) + 1))
+        starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        side = np.array(own)
+        two = len(set(own)) > 1
+        root: dict = {c: c for c in comp}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for k in range(len(sets)):
+            after = np.arange(k + 1, len(sets))
+            if two:
+                after = after[side[after] != side[k]]
+            mine = find(comp[k])
+            after = np.array([y for y in after if find(comp[y]) != mine], np.int64)
+            if len(after):
+                after = after[100 * np.minimum(n[after], n[k]) >= threshold_percent * np.maximum(n[after], n[k])]
+            if len(after):
+                after = after[(keys[after] == keys[k]).any(axis=1)]
+            if len(after):
+                after = after[~unlikely(regs[after], np.broadcast_to(regs[k], (len(after), M)), n[after], np.full(len(after), n[k]), threshold_percent / 100)]
+            if not len(after):
+                continue
+            own_values = place[starts[k] : starts[k + 1]]
+            both = np.zeros(len(sets), np.int64)
+            for v in np.array_split(own_values, max(1, len(own_values) // 4096)):
+                count = begin[v + 1] - begin[v]
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[v], count)
+                both += np.bincount(holders[at], minlength=len(sets))
+            for y in after[100 * both[after] >= threshold_percent * (n[after] + n[k] - both[after])]:
+                if find(comp[y]) != find(comp[k]):
+                    root[find(comp[y])] = find(comp[k])
+                    links.append((min(node[k], node[y]), max(node[k], node[y])))
+        kind = group.schema.field("node").type
+        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+
+    return of
+
+
 def find_components(docs: DataFrame, width: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     threshold = threshold_percent / 100
@@ -222,29 +307,12 @@ def find_components(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     members = materialise(banded.join(shared.select("key", "first"), "key"), "near-members")
     texts = rows.select(F.col("doc_id").alias("node"), "text").where(F.col("doc_id").isNotNull())
 
-    tried = materialise(members.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = materialise(confirm(materialise(likely_pairs(tried, nodes, threshold), "near-likely"), texts, width, threshold_percent).distinct(), "near-links")
+    pairs = materialise(members.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    links = materialise(confirm(materialise(likely_pairs(pairs, nodes, threshold), "near-likely"), texts, width, threshold_percent).distinct(), "near-links")
     labels = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        comp = F.coalesce("label", "node")
-        placed = members.select("key", "node", "n").join(labels, "node", "left").select("key", "node", "n", comp.alias("comp"))
-        apart = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("middle"))
-        apart = apart.where(F.col("low") != F.col("high")).select("key", "middle")
-        left = materialise(placed.join(apart, "key"), "near-apart")
-        if left.isEmpty():
-            break
-        other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-        if turn < STAR_ROUNDS:
-            other = other.join(apart, "key").where(F.col("node2") == F.col("middle")).drop("middle")
-        met = left.join(other, "key").where((F.col("comp") != F.col("comp2")) & (F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9))
-        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        fresh = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        tried = tried.unionByName(fresh)
-        found = confirm(materialise(likely_pairs(fresh, nodes, threshold), "near-likely"), texts, width, threshold_percent)
-        found = materialise(found.distinct(), "near-links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+    found = compare_blocks(apart_members(members, labels), nodes, texts, width, threshold_percent)
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
     own = nodes.select("f1", "f2", "n", "node").join(labels, "node", "left").select("f1", "f2", "n", F.coalesce("label", "node").alias("component"))
     result = sketches.select("doc_id", "n", "f1", "f2").join(own, ["f1", "f2", "n"], "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
