@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secret_scan
+from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
 from .shared import read
 
 
@@ -114,6 +114,11 @@ FROM b
 """.replace("\\", "\\"[:1])
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), batches=2)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -146,11 +151,23 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat_format": op8_chat_format,
     "op9_near_dedup": op9_near_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM w WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+cut AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(k, k + 13)) AS p FROM g JOIN m USING (g) WHERE least < doc_id)),
+p AS (SELECT doc_id, word, p FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w)),
+kept AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.p) AS t FROM p LEFT JOIN cut ON p.doc_id = cut.doc_id AND p.p = cut.p WHERE cut.p IS NULL GROUP BY p.doc_id)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, (coalesce(len(w), 0) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -165,4 +182,4 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op4_quality_rules": OP4_SQL, "op8_chat_format": OP8_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op4_quality_rules": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_chat_format": OP8_SQL, "op10_decontaminate": OP10_SQL}
