@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup
+from . import byte_bpe, chat_format, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, suffix_dedup
 from .shared import read
 
 
@@ -114,6 +114,11 @@ FROM b
 """.replace("\\", "\\"[:1])
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), batches=2)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -151,6 +156,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_chat_format": op8_chat_format,
