@@ -42,6 +42,8 @@ M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 BANDS = M // ROWS
 #: Difference of log-likelihoods at which a candidate is dropped unseen.
 CERTAIN = 25.0
+#: Rows of a task while labels spread.
+EDGES_PER_TASK = 200_000
 #: Classes of a block; clusters of more than so many blocks are taken band by band.
 BLOCK, MOST_BLOCKS = 256, 16
 
@@ -148,7 +150,7 @@ def sketch_documents(docs: DataFrame, width: int, doc_id: str = "doc_id", text:
 
 def likely_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that size and registers do not rule out."""
-    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")).hint("merge")
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     sized = joined.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
 
@@ -165,9 +167,7 @@ def likely_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Dat
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold_percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = materialise(texts.join(ids, "node", "left_semi"), "near-texts")
-    side = lambda x: needed.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")).hint("merge")
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,17 +196,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold_percent: i
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and label (the least node reachable) for each node of links (a, b)."""
+    """node and label (the least node reachable) for each node of links (a, b).
+
+    Each round takes the least label among a node and its neighbours, then the label's own label.  The tables of a
+    round are read in as many tasks as their rows need, not in one for each shuffle partition.
+    """
     both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct()
     edges = materialise(both, "near-edges")
-    labels = materialise(edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
+    tasks = 2 + edges.count() // EDGES_PER_TASK
+    labels = edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
+    labels = materialise(labels.coalesce(tasks), "near-labels")
     while True:
-        seen = edges.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other")
-        least = seen.groupBy("node").agg(F.min("theirs").alias("theirs"))
-        lower = labels.join(least, "node").select("node", F.col("label").alias("was"), F.least("label", "theirs").alias("label"))
+        told = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        heard = told.coalesce(tasks).unionByName(labels.select("node", "label", F.col("label").alias("was")))
+        lower = heard.groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was")).coalesce(tasks)
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = lower.join(roots, "label", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label"))
-        after = materialise(after, "near-labels")
+        after = materialise(after.coalesce(tasks), "near-labels")
         labels = after.select("node", "label")
         if after.where(F.col("label") != F.col("was")).isEmpty():
             return labels
@@ -230,8 +236,8 @@ def compare_blocks(apart: DataFrame, nodes: DataFrame, texts: DataFrame, width:
     blocks = grouped.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = grouped.join(blocks, "at").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = materialise(dealt, "near-dealt")
-    wanted = texts.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    known = materialise(nodes.select("node", "n", "regs", "keys").join(wanted, "node"), "near-known")
+    wanted = texts.join(dealt.select("node").distinct().hint("merge"), "node", "left_semi")
+    known = materialise(nodes.select("node", "n", "regs", "keys").join(wanted.hint("merge"), "node"), "near-known")
     full = dealt.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "regs", "keys", "text")
     kind = nodes.schema["node"].dataType.simpleString()
@@ -305,7 +311,10 @@ def find_components(docs: DataFrame, width: int = 5, threshold_percent: int = 80
     banded = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where(F.col("size") > 1)
     members = materialise(banded.join(shared.select("key", "first"), "key"), "near-members")
-    texts = rows.select(F.col("doc_id").alias("node"), "text").where(F.col("doc_id").isNotNull())
+    # The texts that confirmation may need, fetched once; joins with texts and registers are merge joins at any size.
+    wanted = members.select("node").distinct().hint("merge")
+    texts = rows.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
+    texts = materialise(texts.dropDuplicates(["node"]), "near-texts")
 
     pairs = materialise(members.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     links = materialise(confirm(materialise(likely_pairs(pairs, nodes, threshold), "near-likely"), texts, width, threshold_percent).distinct(), "near-links")

@@ -22,15 +22,17 @@ def tag_set(*tags: Column) -> Column:
     return F.filter(F.array_sort(F.array_distinct(F.array_compact(F.array(*tags)))), lambda t: t != "")
 
 
-def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table: four nodes, tags for the kind of event and the user."""
+def user_events(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
+    """The ``events`` table: four nodes, tags for the kind of event and the user.  The table has no offsets;
+    with offsets they are numbered without gaps in each stream, otherwise they only ascend."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     node = F.col("user_id") % 4
+    dense = F.row_number().over(Window.partitionBy(node).orderBy("event_id")) - 1
     return e.select(
         (F.col("event_id") + 1).alias("lamport"),
         F.concat(F.lit("n"), node.cast("string")).alias("node"),
         F.lit(0).cast("long").alias("stream_nr"),
-        (F.row_number().over(Window.partitionBy(node).orderBy("event_id")) - 1).cast("long").alias("offset"),
+        (dense if offsets else F.col("event_id")).cast("long").alias("offset"),
         F.col("ts").cast("timestamp").alias("ts"),
         tag_set(F.col("event_type"), F.lit("user"), F.concat(F.lit("user:"), F.col("user_id").cast("string"))).alias("tags"),
         F.when(F.col("event_type") == "error", "com.example.ops").otherwise("com.example.shop").alias("app_id"),
@@ -57,14 +59,13 @@ def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as events tagged ``item`` and ``order:<key>``; ordered by all columns, since no key is unique."""
+    """Line items as events tagged ``item`` and ``order:<key>``, in the order of order, line, part and supplier."""
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    ordered = Window.orderBy(*i.columns)
     return i.select(
-        (F.row_number().over(ordered) + 10_000_000).cast("long").alias("lamport"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber") + 1_000_000_000).cast("long").alias("lamport"),
         F.lit("items").alias("node"),
-        F.lit(0).cast("long").alias("stream_nr"),
-        F.lit(0).cast("long").alias("offset"),
+        F.col("l_partkey").alias("stream_nr"),
+        F.col("l_suppkey").alias("offset"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         tag_set(F.lit("item"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string"))).alias("tags"),
         F.lit("com.example.orders").alias("app_id"),

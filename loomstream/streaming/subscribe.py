@@ -1,0 +1,137 @@
+"""Subscriptions on Structured Streaming.
+
+Stages without state (filter, select, let) run on a streaming EventFrame as they do on a batch.  An aggregate keeps a
+group's state and, after each micro-batch that changes it, takes back what it said before: an ``antiEvent`` with the old value,
+then an ``event`` with the new one.  A monotonic subscription passes events in key order and ends with ``timeTravel`` when one comes
+late.  State is held by group, so groups run in parallel; a query over everything is one group, as its meaning demands.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "grp string, seq bigint, type string, value double, message string"
+#: What inverts, by the message that others fail with.
+INVERTIBLE = {"sum", "product"}
+
+
+def retracting(stream: DataFrame, kind: str) -> DataFrame:
+    """Rows of a running aggregate of (grp, lamport, value, anti): grp, seq, type, value, message.
+
+    kind: sum, product, min, max, first or last.  An anti-input is taken out of sum and product; for the others
+    it is a fatal diagnostic, after which the group says nothing more.
+    """
+
+    def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, value, at, zeros, seq, said, dead = state.get if state.exists else (0, 0.0, -1, 0, 0, None, False)
+        if kind == "product" and n == 0 and zeros == 0 and not state.exists:
+            value = 1.0
+        out = []
+        rows = pd.concat(list(batches)).sort_values("lamport")
+        for r in rows.itertuples(index=False):
+            if dead:
+                break
+            if r.anti and kind not in INVERTIBLE:
+                dead = True
+                seq += 1
+                out.append((seq, "diagnostic", None, f"anti-input cannot be processed in {kind.upper()}()"))
+                break
+            sign = -1 if r.anti else 1
+            if kind == "sum":
+                value += sign * r.value
+            elif kind == "product":
+                zeros += sign * (r.value == 0)
+                value = value * r.value if sign > 0 and r.value != 0 else value / r.value if r.value != 0 else value
+            elif n == 0 or (kind == "min" and r.value < value) or (kind == "max" and r.value > value):
+                value, at = r.value, r.lamport
+            elif (kind == "first" and r.lamport < at) or (kind == "last" and r.lamport > at):
+                value, at = r.value, r.lamport
+            n += sign
+        now = (0.0 if zeros else value) if n else None
+        if not dead and now != said:
+            for name, v in (("antiEvent", said), ("event", now)):
+                if v is not None:
+                    seq += 1
+                    out.append((seq, name, float(v), None))
+            said = now
+        state.update((int(n), float(value), int(at), int(zeros), int(seq), said, bool(dead)))
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["grp", "seq", "type", "value", "message"])
+
+    held = "n bigint, value double, at bigint, zeros bigint, seq bigint, said double, dead boolean"
+    rows = stream.select("grp", "lamport", F.col("value").cast("double").alias("value"), "anti")
+    return rows.groupBy("grp").applyInPandasWithState(update, OUT, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def monotonic(stream: DataFrame, latest: int = -1) -> DataFrame:
+    """Events of (grp, lamport, value) in ascending lamport; the first micro-batch row at or below what was passed
+    gives ``timeTravel`` with that lamport, and the group ends."""
+
+    def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, seq, over = state.get if state.exists else (latest, 0, False)
+        out = []
+        rows = pd.concat(list(batches)).sort_values("lamport", kind="stable")
+        for r in rows.itertuples(index=False):
+            if over:
+                break
+            seq += 1
+            if r.lamport <= at:
+                over = True
+                out.append((seq, "timeTravel", float(r.lamport), None))
+            else:
+                at = r.lamport
+                out.append((seq, "event", float(r.value), None))
+        state.update((int(at), int(seq), bool(over)))
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["grp", "seq", "type", "value", "message"])
+
+    rows = stream.select("grp", "lamport", F.col("value").cast("double").alias("value"))
+    return rows.groupBy("grp").applyInPandasWithState(update, OUT, "at bigint, seq bigint, over boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def limited(stream: DataFrame, n: int) -> DataFrame:
+    """LIMIT n on a stream of (grp, lamport, value, anti): an anti-input gives one back, unless all are used up."""
+
+    def update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        left, seq, dead = state.get if state.exists else (n, 0, False)
+        out = []
+        for r in pd.concat(list(batches)).itertuples(index=False):
+            if dead:
+                break
+            if r.anti and left == 0:
+                dead = True
+                seq += 1
+                out.append((seq, "diagnostic", None, "anti-input cannot be processed in saturated LIMIT"))
+            elif r.anti or left > 0:
+                left += 1 if r.anti else -1
+                seq += 1
+                out.append((seq, "antiEvent" if r.anti else "event", float(r.value), None))
+        state.update((int(left), int(seq), bool(dead)))
+        if out:
+            yield pd.DataFrame([(key[0], *o) for o in out], columns=["grp", "seq", "type", "value", "message"])
+
+    rows = stream.select("grp", "lamport", F.col("value").cast("double").alias("value"), "anti")
+    return rows.groupBy("grp").applyInPandasWithState(update, OUT, "left bigint, seq bigint, dead boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def subscribe(catch_up: DataFrame, live: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two parts of a subscription: known events (above lower, in key order) and, from the stream, those beyond
+    both lower and what was known.  lower and the known offsets are a row for each stream (node, stream_nr, offset)."""
+    known = catch_up.groupBy("node", "stream_nr").agg(F.max("offset").alias("offset"))
+    top = known.unionByName(lower.select("node", "stream_nr", "offset")).groupBy("node", "stream_nr").agg(F.max("offset").alias("__top"))
+    above = lower.select("node", "stream_nr", F.col("offset").alias("__low"))
+    past = catch_up.join(above, ["node", "stream_nr"], "left").where(F.col("offset") > F.coalesce("__low", F.lit(-1))).drop("__low")
+    fresh = live.join(F.broadcast(top), ["node", "stream_nr"], "left").where(F.col("offset") > F.coalesce("__top", F.lit(-1))).drop("__top")
+    return past.orderBy("lamport", "node", "stream_nr"), fresh
+
+
+def run_to_table(stream: DataFrame, checkpoint: str, name: str) -> DataFrame:
+    """Runs a streaming query over all that is there now, and gives what it said."""
+    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
