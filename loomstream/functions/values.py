@@ -448,6 +448,10 @@ def obj(**fields) -> Expr:
     return Expr(build, _combined(*fields.values()))
 
 
+def _without(made: Column, name: Column) -> Column:
+    return F.map_filter(made, lambda key, _: key != name)
+
+
 def mapping(*pairs: tuple) -> Expr:
     """An object with computed keys; of equal keys the last counts."""
     pairs = [(expr(k), expr(v)) for k, v in pairs]
@@ -457,8 +461,9 @@ def mapping(*pairs: tuple) -> Expr:
         values, dtype = _same_type(cells)
         made = F.create_map()
         for k, v in zip(keys, values):
-            one = F.create_map(as_text(k), v)
-            made = one if k is keys[0] else F.map_concat(F.map_filter(made, lambda key, _, k=k: key != as_text(k)), one)
+            name = as_text(k)
+            one = F.create_map(name, v)
+            made = one if k is keys[0] else F.map_concat(_without(made, name), one)
         return Cell(made, T.MapType(T.StringType(), dtype), first_error(*(c.error for c in (*keys, *cells))), _metas(*keys, *cells))
 
     return Expr(build, _combined(*(e for p in pairs for e in p)))
