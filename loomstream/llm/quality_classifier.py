@@ -39,6 +39,7 @@ FEATURES = (
 )
 #: Quantiles at which a feature is cut.
 CUTS = (0.01, 0.03, 0.06, 0.12, 0.25, 0.5, 0.75, 0.88, 0.94, 0.97, 0.99)
+#: Ridge on the weights: a fixed part, and one observation's worth, which the trusted positives outweigh.
 RIDGE = 1e-4
 NEWLINE = byte_class((10, 10))
 
@@ -197,9 +198,9 @@ class Model:
     prior: float
 
 
-def bound_prior(rows: DataFrame, cuts: list[np.ndarray], u: np.ndarray, p: np.ndarray) -> float:
+def bound_prior(rows: DataFrame, cuts: list[np.ndarray], u: np.ndarray, p: np.ndarray, ridge: float) -> float:
     """The largest prior that U allows: the least ratio of U's to P's mass above a score."""
-    model = Model(cuts, minimise(0.5, u, p), 0.5)
+    model = Model(cuts, minimise(0.5, u, p, ridge), 0.5)
     scored = score(rows, model, keep=("__p",)).groupBy(F.floor(F.col("score") * 50).alias("bin")).agg(
         F.count("*").alias("u"), F.count_if("__p").alias("p")
     )
@@ -220,10 +221,11 @@ def fit(rows: DataFrame, prior: float | None = None) -> Model:
     if not m[1][0] or not m[0][0]:
         return Model(cuts, None, 0.5)
     u, p = m[0][1] / m[0][0], m[1][1] / m[1][0]
+    ridge = RIDGE + 1 / m[1][0]
     if prior is None:
         known = rows.agg(F.avg(F.col("__y").cast("double")).alias("y")).first()["y"]
-        prior = float(known) if known is not None and 0 < known < 1 else bound_prior(rows, cuts, u, p)
-    return Model(cuts, minimise(prior, u, p), prior)
+        prior = float(known) if known is not None and 0 < known < 1 else bound_prior(rows, cuts, u, p, ridge)
+    return Model(cuts, minimise(prior, u, p, ridge), prior)
 
 
 def score(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
