@@ -14,6 +14,8 @@ from .tags import Where
 #: Streams 0 to 3 (fixed values).
 RESERVED = ("default", "discovery", "metrics", "files")
 SIZES = {"B": 1, "kB": 10**3, "MB": 10**6, "GB": 10**9, "KiB": 2**10, "MiB": 2**20, "GiB": 2**30}
+#: Offsets of a stream that are summed in one task.
+BLOCK = 65_536
 AGES = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 
 
@@ -65,14 +67,31 @@ def publish(store: DataFrame, batch: DataFrame, node: str, app_id: str, at: str,
     )
 
 
-def bytes_of(text: str) -> int:
+def _amount(text: str, units: dict[str, int]) -> int:
     m = re.fullmatch(r"(\d+)\s*([A-Za-z]+)", text)
-    return int(m[1]) * SIZES[m[2]]
+    if m is None or m[2] not in units:
+        raise ValueError(f"{text!r} is not a number and one of {', '.join(units)}")
+    return int(m[1]) * units[m[2]]
+
+
+def bytes_of(text: str) -> int:
+    return _amount(text, SIZES)
 
 
 def seconds_of(text: str) -> int:
-    m = re.fullmatch(r"(\d+)\s*([smhdw])", text)
-    return int(m[1]) * AGES[m[2]]
+    return _amount(text, AGES)
+
+
+def _held_from(events: DataFrame) -> DataFrame:
+    """node, stream_nr, offset and ``__held``: bytes of an event's payload and of all later ones of its stream.  Sums
+    by block of offsets come first, so that a long stream is no task of its own."""
+    stream = ["node", "stream_nr"]
+    sized = events.select(*stream, "offset", F.floor(F.col("offset") / BLOCK).alias("__block"), F.octet_length(F.to_json("payload")).alias("__size"))
+    later = Window.partitionBy(*stream).orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sized.groupBy(*stream, "__block").agg(F.sum("__size").alias("__sum")).withColumn("__after", F.coalesce(F.sum("__sum").over(later), F.lit(0)))
+    newer = Window.partitionBy(*stream, "__block").orderBy(F.desc("offset"))
+    held = sized.withColumn("__own", F.sum("__size").over(newer)).join(blocks.drop("__sum"), [*stream, "__block"])
+    return held.select(*stream, "offset", (F.col("__own") + F.col("__after")).alias("__held"))
 
 
 def retain(events: DataFrame, max_events: int | None = None, max_age: str | None = None, max_size: str | None = None, now: str | None = None) -> DataFrame:
@@ -85,8 +104,6 @@ def retain(events: DataFrame, max_events: int | None = None, max_age: str | None
     if max_age is not None:
         out = out.where(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_interval(secs=F.lit(seconds_of(max_age))))
     if max_size is not None:
-        newer = Window.partitionBy("node", "stream_nr").orderBy(F.desc("offset"))
-        held = events.select("node", "stream_nr", "offset", F.sum(F.octet_length(F.to_json("payload"))).over(newer).alias("__held"))
-        fits = held.where(F.col("__held") <= bytes_of(max_size)).drop("__held")
+        fits = _held_from(events).where(F.col("__held") <= bytes_of(max_size)).drop("__held")
         out = out.join(fits, ["node", "stream_nr", "offset"], "left_semi")
     return out.select(events.columns)
