@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .shared import small_batches
 
-#: Entries at which a cache starts again, which bounds a worker's memory.
-CACHED_PIECES = 200_000
+#: Pieces of one generation of the cache (two are kept), and states at which the transducer starts again: bounds on a
+#: worker's memory.
+CACHED_PIECES = 300_000
 CACHED_STATES = 300_000
 
 
@@ -59,7 +61,7 @@ class Transducer:
                 node = after
             self.token_at[node] = rank
         self.stable: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.last_merge: dict[int, tuple[int, int] | None] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -68,27 +70,48 @@ class Transducer:
         self.number = {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The definition: merge the adjacent pair of least rank until none is left.  For short inputs."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            least, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if least == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The tokens of the last merge that makes token (-1, -1 for a single byte); None if merging never makes it."""
+        if token not in self.last_merge:
+            parts = [self.bytes_of[token][i : i + 1] for i in range(len(self.bytes_of[token]))]
+            while len(parts) > 2:
+                least, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if least == 1 << 60:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            made = {1: (-1, -1), 2: tuple(self.ranks[p] for p in parts)}
+            self.last_merge[token] = made.get(len(parts))
+        return self.last_merge[token]
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether merging keeps two adjacent tokens apart.
+
+        Followed backwards: beside the border stand the two tokens, before that the halves of whichever was made last.  A pair
+        that stood there would have merged if its rank came before the merge that made the next token on either side;
+        of equal ranks the left one is merged first.
+        """
+        ranks, text = self.ranks, self.bytes_of
+        until = 1 << 60
+        while True:
+            if ranks.get(text[left] + text[right], 1 << 60) < until:
+                return False
+            inner, outer = self.halves(left)[1], self.halves(right)[0]
+            if inner < 0 and outer < 0:
+                return True
+            if outer < 0 or (inner >= 0 and left > right):
+                until, left = left, inner
+            else:
+                until, right = right + 1, outer
 
     def follows(self, before: int, token: int) -> bool:
         """Whether token may stand right after before (-1: at a piece's start)."""
-        if (ok := self.whole.get(token)) is None:
-            ok = self.whole[token] = self.merge(self.bytes_of[token]) == [token]
-        if not ok or before < 0:
-            return ok
+        if before < 0:
+            return self.halves(token) is not None
         pair = (before, token)
         if (ok := self.stable.get(pair)) is None:
             if len(self.stable) > CACHED_STATES:
                 self.stable.clear()
-            ok = self.stable[pair] = self.merge(self.bytes_of[before] + self.bytes_of[token]) == [before, token]
+            ok = self.stable[pair] = self.halves(token) is not None and self.apart(before, token)
         return ok
 
     def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -146,18 +169,21 @@ class Tokenizer:
 
         self.machine = Transducer(load_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.table = [self.machine.bytes_of.get(i, b"") for i in range(max(self.machine.bytes_of) + 1)]
 
     def encode(self, text: str) -> list[int]:
         if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
+            self.pieces, self.older = {}, self.pieces
         ids: list[int] = []
-        known = self.pieces
+        known, older = self.pieces, self.older
         for piece in self.split(text):
             tokens = known.get(piece)
             if tokens is None:
-                tokens = self.machine.encode(piece.encode())
+                tokens = older.get(piece)
+                if tokens is None:
+                    tokens = tuple(self.machine.encode(piece.encode()))
                 if len(piece) <= 64:
                     known[piece] = tokens
             ids += tokens
@@ -179,9 +205,12 @@ _tokenizers: dict[tuple[str, str], Tokenizer] = {}
 
 
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One for each worker and vocabulary."""
+    """One for each worker and vocabulary.  Its tables live as long as the worker and hold no cycles, so the garbage
+    collector need not walk them."""
     if (path, pattern) not in _tokenizers:
         _tokenizers[path, pattern] = Tokenizer(path, pattern)
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 100)
     return _tokenizers[path, pattern]
 
 
