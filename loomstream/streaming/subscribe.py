@@ -131,7 +131,9 @@ def subscribe(catch_up: DataFrame, live: DataFrame, lower: DataFrame) -> tuple[D
 
 
 def run_to_table(stream: DataFrame, checkpoint: str, name: str) -> DataFrame:
-    """Runs a streaming query over all that is there now, and gives what it said."""
-    query = stream.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs a streaming query over all that is there now, and gives what it said, from files beside the checkpoint.  Run
+    again with the same checkpoint and name it goes on where it was, and gives what it said in all runs."""
+    path = f"{checkpoint}-{name}"
+    query = stream.writeStream.outputMode("append").format("parquet").queryName(name).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
