@@ -676,47 +676,90 @@ def _shared(spark) -> str:
     return base or f"file://{tempfile.mkdtemp(prefix='loomstream-')}"
 
 
-def streamed(spark, d, parts: int) -> DataFrame:
-    """The events as a stream of so many files, in order of key."""
-    path = f"{_shared(spark)}/loomstream-stream-{uuid.uuid4().hex}"
-    e = user_events(spark, d).select("lamport", "node", F.lit(0).cast("bigint").alias("stream_nr"), "offset", "tags", F.col("payload.k").alias("value"), F.col("payload.event_type").alias("grp"), F.lit(False).alias("anti"))
-    for i in range(parts):
-        e.where(F.floor(F.col("lamport") / 2500) == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
+#: Events of a slice, about: what a micro-batch takes in.
+SLICE = 100_000
 
 
-def _said(spark, stream: DataFrame) -> DataFrame:
-    return live.run_to_table(stream, f"{_shared(spark)}/loomstream-state-{uuid.uuid4().hex}", f"said_{uuid.uuid4().hex}")
+def _said(spark, e: DataFrame, of: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
+    """What a subscription says of all events of e, which come in at least so many slices in order of key.  A slice is a range
+    of lamports between the least and the highest, written by many tasks; the subscription then goes on with it as one
+    micro-batch, so the order does not hang on the times of files."""
+    e = e.select("lamport", "node", F.lit(0).cast("bigint").alias("stream_nr"), "offset", "tags", F.col("payload.k").alias("value"), F.col("payload.event_type").alias("grp"), F.lit(False).alias("anti"))
+    own = uuid.uuid4().hex
+    path, state = f"{_shared(spark)}/loomstream-stream-{own}", f"{_shared(spark)}/loomstream-state-{own}"
+    n, low, high = e.agg(F.count("*"), F.coalesce(F.min("lamport"), F.lit(0)), F.coalesce(F.max("lamport"), F.lit(0))).first()
+    parts = max(parts, -(-n // SLICE))
+    edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
+    for start, end in zip(edges, edges[1:]):
+        e.where((F.col("lamport") >= start) & (F.col("lamport") < end)).repartitionByRange("lamport").write.mode("append").parquet(path)
+        said = live.run_to_table(of(spark.readStream.schema(e.schema).parquet(path)), state, "said")
+    return said
 
 
-@query("SELECT event_type AS grp, sum(k)::DOUBLE AS value FROM e WHERE lamport < 10000 GROUP BY 1")
-def subscribe_sum(spark, d):
+def _first_10k(spark, d) -> DataFrame:
+    """The events that the SQL of four subscriptions is about; subscribe_*_whole take all."""
+    return user_events(spark, d).where("lamport < 10000")
+
+
+def _last_sum(said: DataFrame) -> DataFrame:
     """The last word of each group after retractions: events count, antiEvents take back."""
-    said = _said(spark, live.retracting(streamed(spark, d, 4), "sum"))
     sign = F.when(F.col("type") == "event", F.col("value")).otherwise(-F.col("value"))
     return said.groupBy("grp").agg(F.sum(sign).alias("value"))
 
 
+def _last_word(said: DataFrame) -> DataFrame:
+    return said.where("type = 'event'").groupBy("grp").agg(F.max_by("value", "seq").alias("value"))
+
+
+def _counted(said: DataFrame) -> DataFrame:
+    return said.where("type = 'event'").groupBy("grp").agg(F.count("*").alias("n"))
+
+
+def _bad_k(stream: DataFrame) -> DataFrame:
+    """Stateless stages run on a stream as they are."""
+    return stream.where(F.array_contains("tags", "error") & (F.col("value") > 50)).select("lamport")
+
+
+@query("SELECT event_type AS grp, sum(k)::DOUBLE AS value FROM e WHERE lamport < 10000 GROUP BY 1")
+def subscribe_sum(spark, d):
+    return _last_sum(_said(spark, _first_10k(spark, d), lambda s: live.retracting(s, "sum")))
+
+
+@query("SELECT event_type AS grp, sum(k)::DOUBLE AS value FROM e GROUP BY 1")
+def subscribe_sum_whole(spark, d):
+    return _last_sum(_said(spark, user_events(spark, d), lambda s: live.retracting(s, "sum")))
+
+
 @query("SELECT event_type AS grp, arg_max(k, lamport)::DOUBLE AS value FROM e WHERE lamport < 10000 GROUP BY 1")
 def subscribe_last(spark, d):
-    said = _said(spark, live.retracting(streamed(spark, d, 4), "last"))
-    return said.where("type = 'event'").groupBy("grp").agg(F.max_by("value", "seq").alias("value"))
+    return _last_word(_said(spark, _first_10k(spark, d), lambda s: live.retracting(s, "last")))
+
+
+@query("SELECT event_type AS grp, arg_max(k, lamport)::DOUBLE AS value FROM e GROUP BY 1")
+def subscribe_last_whole(spark, d):
+    return _last_word(_said(spark, user_events(spark, d), lambda s: live.retracting(s, "last")))
 
 
 @query("SELECT event_type AS grp, count(*) AS n FROM e WHERE lamport < 10000 GROUP BY 1")
 def subscribe_monotonic(spark, d):
-    said = _said(spark, live.monotonic(streamed(spark, d, 4)))
-    return said.where("type = 'event'").groupBy("grp").agg(F.count("*").alias("n"))
+    return _counted(_said(spark, _first_10k(spark, d), live.monotonic))
+
+
+@query("SELECT event_type AS grp, count(*) AS n FROM e GROUP BY 1")
+def subscribe_monotonic_whole(spark, d):
+    return _counted(_said(spark, user_events(spark, d), live.monotonic))
 
 
 @query("SELECT event_type AS grp, 10::BIGINT AS n FROM e GROUP BY 1")
 def subscribe_limit(spark, d):
-    said = _said(spark, live.limited(streamed(spark, d, 4), 10))
-    return said.where("type = 'event'").groupBy("grp").agg(F.count("*").alias("n"))
+    return _counted(_said(spark, user_events(spark, d), lambda s: live.limited(s, 10)))
 
 
 @query("SELECT lamport FROM e WHERE event_type = 'error' AND k > 50 AND lamport < 10000")
 def subscribe_filter(spark, d):
-    """Stateless stages run on a stream as they are."""
-    stream = streamed(spark, d, 4)
-    return _said(spark, stream.where(F.array_contains("tags", "error") & (F.col("value") > 50)).select("lamport"))
+    return _said(spark, _first_10k(spark, d), _bad_k)
+
+
+@query("SELECT lamport FROM e WHERE event_type = 'error' AND k > 50")
+def subscribe_filter_whole(spark, d):
+    return _said(spark, user_events(spark, d), _bad_k)

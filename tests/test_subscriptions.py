@@ -18,3 +18,24 @@ def test_what_a_stream_says_is_kept_in_files(spark):
     rows.where("lamport > 600").write.mode("append").parquet(f"{base}/in")
     again = live.run_to_table(stream, f"{base}/state", "said")
     assert [tuple(r) for r in again.groupBy("type").agg(F.count("*"), F.max("seq")).collect()] == [("event", 1000, 1000)]
+
+
+def test_a_subscription_takes_events_to_the_last(spark, monkeypatch):
+    """More events than 10,000, in slices with gaps between their lamports."""
+    from loomstream.plans import queries as plans
+
+    monkeypatch.setattr(plans, "SLICE", 2_000)
+    lamport = F.col("id") * 3 + F.when(F.col("id") > 9_000, 50_000).otherwise(0) + 1
+    payload = F.struct((F.col("id") % 7).alias("k"), F.lit("error").alias("event_type"))
+    e = spark.range(0, 12_000).select(lamport.alias("lamport"), F.lit("n0").alias("node"), F.col("id").alias("offset"), F.array(F.lit("error")).alias("tags"), payload.alias("payload"))
+    said = plans._said(spark, e, live.monotonic)
+    assert [tuple(r) for r in said.groupBy("type").agg(F.count("*")).collect()] == [("event", 12_000)]
+    assert plans._last_sum(plans._said(spark, e, lambda s: live.retracting(s, "sum"))).first()["value"] == sum(i % 7 for i in range(12_000))
+    assert plans._said(spark, e.where("false"), live.monotonic).count() == 0
+
+
+def test_whole_subscriptions_reach_beyond_10_000(spark):
+    from loomstream.plans import queries as plans
+
+    n = plans.Q["subscribe_monotonic_whole"](spark, "/root/testdata/sf0.1").agg(F.sum("n")).first()[0]
+    assert n == spark.read.parquet("/root/testdata/sf0.1/events.parquet").count()
