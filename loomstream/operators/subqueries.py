@@ -18,6 +18,9 @@ from pyspark.sql.window import Window
 from ..functions import values as V
 from .frame import EventFrame
 
+#: Ranges of values that are summed in tasks of their own.
+RANGES = 64
+
 
 def _outer(outer: EventFrame) -> DataFrame:
     return outer.df.withColumn("__row", F.struct("__key", "__path"))
@@ -116,6 +119,29 @@ def nest_sum(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, on_tags
     return replace(outer, df=df, names={**outer.names, name: cell.dtype})
 
 
+def nest_count_above(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, than: V.Expr) -> EventFrame:
+    """Binds name to how many values of e in the sub-query are above ``than`` of the row: 0 where none is, and where ``than`` is
+    NULL or in error.  No pairs are made: values are counted, the counts summed from the top within ranges of values that a
+    sample bounds and over the ranges, and the row looks its own value up."""
+    counts = inner.df.select(as_column(inner, e).alias("__x")).where(F.col("__x").isNotNull()).groupBy("__x").agg(F.count("*").alias("__c"))
+    rows = outer.df.withColumn("__x", as_column(outer, than))
+    asked = rows.where(F.col("__x").isNotNull()).select("__x", F.lit(0).cast("bigint").alias("__c"))
+    values = counts.unionByName(asked.distinct()).groupBy("__x").agg(F.sum("__c").alias("__c"))
+    edges = values.agg(F.percentile_approx("__x", [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    inside = F.lit(0)
+    for x in sorted(set(edges)):
+        inside = inside + (F.col("__x") > x).cast("int")
+    ranged = values.withColumn("__r", inside)
+    higher = Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = ranged.groupBy("__r").agg(F.sum("__c").alias("__all")).select("__r", F.coalesce(F.sum("__all").over(higher), F.lit(0)).alias("__over"))
+    own = Window.partitionBy("__r").orderBy(F.desc("__x")).rowsBetween(Window.unboundedPreceding, -1)
+    above = ranged.withColumn("__own", F.coalesce(F.sum("__c").over(own), F.lit(0))).join(F.broadcast(totals), "__r")
+    found = above.select(F.col("__x").alias("__fx"), (F.col("__own") + F.col("__over")).cast("bigint").alias("__found"))
+    df = rows.join(found, F.col("__x") == F.col("__fx"), "left")
+    df = df.select("__key", "__path", "__v", "__m", *(c for c in outer._bindings() if c not in (f"__b_{name}", f"__bm_{name}")), F.coalesce("__found", F.lit(0)).cast("bigint").alias(f"__b_{name}"), F.col("__m").alias(f"__bm_{name}"))
+    return replace(outer, df=df, names={**outer.names, name: T.LongType()})
+
+
 def having(outer: EventFrame, inner: EventFrame, on_tag: V.Expr, negated: bool = False) -> EventFrame:
     """Rows for which the sub-query finds something (or nothing): a semi or anti join on the computed tag."""
     c = V.expr(on_tag).build(outer.scope())

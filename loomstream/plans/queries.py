@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -472,6 +473,15 @@ def subquery_comparison(spark, d):
     return f.df.select(F.col("__b_a").alias("a"), F.size("__b_n").cast("bigint").alias("n"))
 
 
+@query("SELECT k AS a, n FROM e JOIN (SELECT x.k, count(t.k) AS n FROM (SELECT DISTINCT k FROM e) x LEFT JOIN (SELECT DISTINCT k FROM e WHERE event_type = 'view') t ON t.k > x.k GROUP BY 1) USING (k) WHERE event_type = 'signup'")
+def subquery_comparison_whole(spark, d):
+    """How many different values are above the row's, over all events and without making pairs."""
+    inner = ev(spark, d, S.tag("view"))
+    inner = EventFrame(inner.df.withColumn("__k", F.col("__v.k")).dropDuplicates(["__k"]).drop("__k"), inner.dtype)
+    f = subqueries.nest_count_above(ev(spark, d, S.tag("signup")).let("a", it.k), "n", inner, it.k, var("a"))
+    return f.df.select(F.col("__b_a").alias("a"), F.col("__b_n").alias("n"))
+
+
 @query("SELECT user_id, 5::BIGINT AS n FROM e WHERE event_type = 'signup'")
 def subquery_uncorrelated(spark, d):
     inner = ev(spark, d, S.tag("error")).limit(5).select(it.k)
@@ -487,6 +497,15 @@ def subquery_two_tags(spark, d):
     return f.rows().groupBy("u").agg(F.max("k").alias("k"))
 
 
+@query("SELECT y.user_id AS u, max(y.k) AS k FROM e y WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM e x WHERE x.user_id = y.user_id AND x.event_type = 'signup') GROUP BY 1")
+def subquery_two_tags_whole(spark, d):
+    """The same for all events.  What is asked depends on the two tags alone, so each user is asked once, not each sign-up."""
+    users = ev(spark, d, S.tag("signup")).let("u", it.user_id)
+    users = replace(users, df=users.df.dropDuplicates(["__b_u"]))
+    f = subqueries.join_rows(users, ev(spark, d, S.tag("error")), (text("user:", var("u")), text("err", "or")), select=obj(u=var("u"), k=it.k))
+    return f.rows().groupBy("u").agg(F.max("k").alias("k"))
+
+
 @query("SELECT o_custkey AS c, o_orderkey AS o, l_linenumber::BIGINT AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 20")
 def subquery_nested(spark, d):
     """Customers' orders, and each order's items: two levels."""
@@ -495,6 +514,13 @@ def subquery_nested(spark, d):
     return level2.select(spread(var("lines"))).df.select(F.col("__b_c").alias("c"), F.col("__b_o").alias("o"), F.col("__v").alias("l"))
 
 
+@query("SELECT o_custkey AS c, o_orderkey AS o, l_linenumber::BIGINT AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def subquery_nested_whole(spark, d):
+    level1 = EventFrame.of(order_events(spark, d), S.tag("order")).let("c", it.o_custkey).let("o", it.o_orderkey)
+    level2 = subqueries.nest(level1, "lines", items(spark, d), on_tags=(order_tag,), select=it.l_linenumber)
+    return level2.select(spread(var("lines"))).df.select(F.col("__b_c").alias("c"), F.col("__b_o").alias("o"), F.col("__v").alias("l"))
+
+
 @query("SELECT o_orderkey AS o FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING bool_or(l_linenumber < 4)")
 def subquery_error(spark, d):
     """An error of an inner value is the error of the row."""
@@ -512,6 +538,15 @@ def subquery_as_of(spark, d):
     return f.df.select(F.col("__key.lamport").alias("lamport"), F.col("__b_before").alias("before"))
 
 
+@query("SELECT lamport, before FROM (SELECT lamport, event_type, max(CASE WHEN event_type = 'purchase' THEN lamport END) OVER (PARTITION BY user_id ORDER BY lamport) AS before FROM e) WHERE event_type = 'error'")
+def subquery_as_of_whole(spark, d):
+    """The user's last purchase before each error, of all errors."""
+    before = lambda s: V.column(F.col("__ikey") < F.col("__key"), T.BooleanType())
+    inner = ev(spark, d, S.tag("purchase")).let("at", V.column(F.col("__key.lamport"), T.LongType()))
+    f = subqueries.nest_last(ev(spark, d, S.tag("error")), "before", inner, var("at"), (text("user:", it.user_id),), where=before)
+    return f.df.select(F.col("__key.lamport").alias("lamport"), F.col("__b_before").alias("before"))
+
+
 @query("SELECT user_id AS entity, count(*) AS n, sum(k)::BIGINT AS k, arg_max(event_type, lamport) AS last FROM e GROUP BY 1")
 def by_entity(spark, d):
     return subqueries.by_entity(ev(spark, d), it.user_id, n=total(lit(1)), k=total(it.k), last=last(it.event_type))
@@ -568,6 +603,13 @@ def merged(spark, d):
     return offsets.merged(e.where("lamport < 200"), e.where("lamport >= 100 AND lamport < 300")).select("lamport")
 
 
+@query("SELECT lamport FROM e")
+def merged_whole(spark, d):
+    """Two sets that share a third of the events and hold all of them together."""
+    e = user_events(spark, d)
+    return offsets.merged(e.where("lamport % 3 <> 0"), e.where("lamport % 3 <> 1")).select("lamport")
+
+
 @query("SELECT min(lamport) AS first, (SELECT max(lamport) FROM e WHERE event_type = 'error') AS last FROM e WHERE event_type = 'error'")
 def observe_ends(spark, d):
     e = S.tag("error").select(user_events(spark, d))
