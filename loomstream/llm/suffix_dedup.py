@@ -182,7 +182,8 @@ def compare_bucket(lead: int, shared):
     def of(bucket: pa.Table) -> pa.Table:
         again, across = shared.value
         heads = bucket.column("head").combine_chunks()
-        words = np.column_stack([head_words(heads, lead), np.asarray(bucket.column("body")).view(np.uint64)])
+        body = np.asarray(bucket.column("body")).view(np.uint64) ^ np.uint64(1 << 63)  # in the order that splitters and boundaries() have
+        words = np.column_stack([head_words(heads, lead), body])
         order = multikey_order(words)
         w = words[order]
         new_key = np.ones(len(w), bool)

@@ -70,3 +70,30 @@ def test_registers_merge_and_bands_agree():
     assert (near_dedup.merge_registers(ra, rb) == union).all()
     assert near_dedup.unlikely(ra, rb, np.array([200.0]), np.array([200.0]), 0.8).all()
     assert not near_dedup.unlikely(ra, ra, np.array([200.0]), np.array([200.0]), 0.8).any()
+
+
+@pytest.mark.parametrize("bucket", [3, 40])
+def test_suffix_dedup_with_many_boundaries(as_table, tricky, monkeypatch, bucket):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    assert suffix_rows(as_table(tricky)) == brute.suffix_dedup(tricky)
+
+
+def test_stretch_at_a_boundary_between_bodies_of_both_signs():
+    """One head with body -5 in two texts and 5 in one; a splitter is (head, -5), so its two copies are dealt apart."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    head = b"h" * suffix_dedup.LEAD
+    compare = suffix_dedup.compare_bucket(suffix_dedup.LEAD, SimpleNamespace(value=({(head, -5)}, set())))
+
+    def kinds(*rows):
+        heads, bodies, ids = zip(*rows)
+        one = pa.array([1] * len(rows), pa.int32())
+        table = pa.table({"head": pa.array(heads, pa.binary()), "body": pa.array(bodies, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "at": one, "n": one})
+        out = compare(table)
+        return set(zip(out.column("doc_id").to_pylist(), out.column("kind").to_pylist()))
+
+    before, after = (b"g" * suffix_dedup.LEAD, 1, 8), (b"i" * suffix_dedup.LEAD, 1, 9)
+    assert kinds(before, (head, -5, 1)) == {(1, suffix_dedup.REPEATED)}
+    assert kinds((head, 5, 3), (head, -5, 2), after) == {(2, suffix_dedup.REPEATED), (3, suffix_dedup.OPEN), (2, suffix_dedup.PARTNER)}
