@@ -14,11 +14,11 @@ document word inside any occurrence of a window is hit.  Words are lower-cased (
 and characters above U+007F.
 
 The benchmark is broadcast in blocks of at most ``block_words`` words, so what is broadcast has a fixed
-bound however large the benchmark is; the documents are read once for each block, and hits of all blocks are
-put together by document.
+bound however large the benchmark is; with several blocks the documents are written once with a key for each row,
+read once for each block, and hits of all blocks are put together by that key.
 
 Defined results: null and empty texts have no words and are not contaminated; repeated rows get the same
-result each (with several blocks, rows that share a doc_id must share their text too); an empty benchmark
+result each, rows that share a doc_id or have none their own; an empty benchmark
 hits nothing; an empty table gives no rows.  Other columns are ignored.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NON_ALNUM, run_hashes, slices, small_batches, word_hashes, word_spans
+from .shared import LOWER, NON_ALNUM, materialise, run_hashes, slices, small_batches, word_hashes, word_spans
 
 WIDTH = 13
 #: Words of benchmark items that are broadcast at once.
@@ -169,16 +169,19 @@ def item_blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
 
 def hit_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (array of the items found) for each row of docs."""
-    blocks = [find_hits(docs, block, width) for block in item_blocks(items, block_words)]
-    hits = blocks[0]
-    if len(blocks) > 1:
-        for other in blocks[1:]:
-            hits = hits.unionByName(other)
-        hits = hits.groupBy("doc_id").agg(
+    blocks = item_blocks(items, block_words)
+    if len(blocks) == 1:
+        hits = find_hits(docs, blocks[0], width)
+    else:  # each row has a key of its own through all blocks, as doc_id may be null or repeat
+        rows = materialise(docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id()), "benchmark-rows")
+        texts = rows.select(F.col("__row").alias("doc_id"), "text")
+        hits = find_hits(texts, blocks[0], width)
+        for block in blocks[1:]:
+            hits = hits.unionByName(find_hits(texts, block, width))
+        hits = hits.groupBy(F.col("doc_id").alias("__row")).agg(
             F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
         )
-        hits = docs.select("doc_id").join(hits, "doc_id", "left")
-        hits = hits.withColumn("spans", F.array_sort("spans"))
+        hits = rows.select("__row", "doc_id").join(hits, "__row").withColumn("spans", F.array_sort("spans"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     step = lambda acc, s: F.struct(
         (acc["n"] + F.greatest(F.lit(0), s[1] - F.greatest(s[0], acc["end"]))).alias("n"), F.greatest(acc["end"], s[1]).alias("end")

@@ -34,6 +34,17 @@ def test_decontaminate(spark, as_table, tricky, block_words):
     assert kept.columns == as_table(tricky).columns
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 60])
+def test_decontaminate_of_null_and_repeated_doc_ids(spark, as_table, tricky, block_words):
+    words = tricky[10][1].split()
+    items = [("a", " ".join(words[5:40])), ("e", " ".join(words[100:113])), ("f", " ".join(words[5:30]))]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(None, " ".join(words[:50])), (None, "clean"), (7, " ".join(words[95:120])), (7, "clean too"), (7, None)]
+    assert hits(as_table(docs), table, block_words=block_words) == sorted(brute.decontaminate(docs, items), key=str)
+    kept = decontaminate.remove_contaminated(as_table(docs[:1] + [(8, "clean")]), table, block_words=block_words)
+    assert [r["doc_id"] for r in kept.collect()] == [8]
+
+
 def test_decontaminate_of_nothing(spark, as_table, tricky):
     none = spark.createDataFrame([], "item_id string, text string")
     assert all(h == 0 for _, _, h, _ in hits(as_table(tricky), none))
