@@ -1,7 +1,8 @@
 """Near duplicates by SetSketch registers, likelihood estimation and confirmation on full sets.
 
 A text's set holds its distinct runs of ``width`` words (A-Z lower-cased; a text of fewer words is one run).
-Texts with the same set are one class from the start, so copies cost one row each and no pair.
+Texts with the same set (its size, and a 128-bit BLAKE2b digest of its sorted shingles) are one class from the start, so
+copies cost one row each and no pair.
 
 * Registers: for each of M hash functions the least exponential value over the set, on a scale spaced
   exponentially by BASE and truncated to 16 bits.  Registers of a union are the larger ones of each pair
@@ -11,7 +12,7 @@ Texts with the same set are one class from the start, so copies cost one row eac
 * Estimation: of a candidate pair's registers some are larger on one side, some on the other, some equal;
   with both set sizes known this gives the likelihood of each similarity.  A pair is dropped only where the
   threshold is less likely than the best estimate below it by a factor of exp(25).
-* Confirmation: all other pairs are compared on their full sets, from the texts.
+* Confirmation: all other pairs are compared on their full sets, from the texts; what they share is compared as text.
 
 Pairs inside a band are not all formed.  First every class meets the first class of its bands alone, and
 linked ones are joined to components.  Only bands that then still hold several components need more: their
@@ -22,13 +23,15 @@ a copy.
 
 Components spread by joins (least neighbour, then label of the label) over tables in the shared folder.
 
-Defined results: null and empty texts have no set and are linked with nothing; a null doc_id never is a
-representative of others unless it is alone; rows that share a doc_id and a text share their result; an
-empty table gives no rows.  Only doc_id and text are read.
+Defined results: null and empty texts have no set and are linked with nothing; rows are told apart by a number of their own,
+so doc_ids may be null, repeat or be of any type that sorts; a component_id is the least doc_id that is not null, and null if
+all are; rows that share a doc_id are linked only if their texts are.  An empty table gives no rows.  Only doc_id and text
+are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACES, materialise, mix, run_hashes, signed, slices, small_batches, word_hashes, word_spans
+from .shared import LOWER, SPACES, Scratch, digests, materialise, mix, numbered, run_hashes, signed, slices, small_batches, word_hashes, word_spans
 
 M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 BANDS = M // ROWS
@@ -124,28 +127,24 @@ def unlikely(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thr
     return below - at_threshold > CERTAIN
 
 
-def sketch_documents(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (the set's fingerprint), regs, keys (of bands) for each row."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def sketch_documents(rows: DataFrame, width: int) -> DataFrame:
+    """row, doc_id, n (set size), f1 and f2 (digest of the sorted set), regs, keys (of bands) for each of (row, doc_id, text)."""
+    small_batches(rows.sparkSession)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 h, first = shingle_sets(data, offsets, width)
-                with np.errstate(over="ignore"):
-                    s1 = np.concatenate(([0], np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64))).astype(np.uint64)
-                    s2 = np.concatenate(([0], np.cumsum(mix(h + np.uint64(0x1234567)), dtype=np.uint64))).astype(np.uint64)
-                    f1, f2 = s1[first[1:]] - s1[first[:-1]], s2[first[1:]] - s2[first[:-1]]
                 regs = registers(h, first)
+                f = digests(h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(signed(f1)), pa.array(signed(f2)),
+                    [part.column("row"), part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]),
                      pa.array([r.tobytes() for r in regs], pa.binary()), pa.array(list(signed(band_keys(regs))), pa.list_(pa.int64()))],
-                    ["doc_id", "n", "f1", "f2", "regs", "keys"],
+                    ["row", "doc_id", "n", "f1", "f2", "regs", "keys"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"doc_id {kind}, n long, f1 long, f2 long, regs binary, keys array<long>")
+    return rows.select("row", "doc_id", "text").mapInArrow(of, f"row long, doc_id {kind}, n long, f1 long, f2 long, regs binary, keys array<long>")
 
 
 def likely_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -165,6 +164,20 @@ def likely_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Dat
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(of, pairs.select("a", "b").schema)
 
 
+_LOWER = bytes(LOWER)
+
+
+def shingle_texts(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The set itself."""
+    words = text.encode().translate(_LOWER).split()
+    return set(zip(*(words[i:] for i in range(width)))) if len(words) >= width else {tuple(words)} - {()}
+
+
+def truly_alike(x: set, y: set, threshold_percent: int) -> bool:
+    both = len(x & y)
+    return both > 0 and 100 * both >= threshold_percent * (len(x) + len(y) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold_percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")).hint("merge")
@@ -189,59 +202,62 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold_percent: i
                 order = np.lexsort((h, o))
                 h, o = h[order], o[order]
                 both = np.bincount(o[1:][(h[1:] == h[:-1]) & (o[1:] == o[:-1])], minlength=n)[:n]
-                keep = pa.array(100 * both >= threshold_percent * (sizes - both))
+                keep = 100 * both >= threshold_percent * (sizes - both)
+                for i in np.flatnonzero(keep):
+                    x, y = (shingle_texts(part.column(c)[int(i)].as_py(), width) for c in ("ta", "tb"))
+                    keep[i] = truly_alike(x, y, threshold_percent)
+                keep = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
     return joined.mapInArrow(of, pairs.select("a", "b").schema)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the least node reachable) for each node of links (a, b).
 
     Each round takes the least label among a node and its neighbours, then the label's own label.  The tables of a
     round are read in as many tasks as their rows need, not in one for each shuffle partition.
     """
     both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct()
-    edges = materialise(both, "near-edges")
+    edges = scratch.keep(both, "near-edges")
     tasks = 2 + edges.count() // EDGES_PER_TASK
     labels = edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = materialise(labels.coalesce(tasks), "near-labels")
+    labels = scratch.keep(labels.coalesce(tasks), "near-labels")
     while True:
         told = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
         heard = told.coalesce(tasks).unionByName(labels.select("node", "label", F.col("label").alias("was")))
         lower = heard.groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was")).coalesce(tasks)
         roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = lower.join(roots, "label", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label"))
-        after = materialise(after.coalesce(tasks), "near-labels")
+        after = scratch.keep(after.coalesce(tasks), "near-labels")
         labels = after.select("node", "label")
         if after.where(F.col("label") != F.col("was")).isEmpty():
             return labels
 
 
-def apart_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+def apart_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """key, node, comp of the bands that hold classes of several components."""
     placed = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
     several = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(F.col("low") != F.col("high"))
-    return materialise(placed.join(several.select("key"), "key"), "near-apart")
+    return scratch.keep(placed.join(several.select("key"), "key"), "near-apart")
 
 
-def compare_blocks(apart: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold_percent: int) -> DataFrame:
+def compare_blocks(apart: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, threshold_percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join components of apart, each confirmed on full sets."""
     first = apart.groupBy("key").agg(F.min("node").alias("a"))
-    ties = materialise(apart.join(first, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "near-ties")
-    clusters = components(ties).withColumnRenamed("label", "cluster")
+    ties = scratch.keep(apart.join(first, "key").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "near-ties")
+    clusters = components(ties, scratch).withColumnRenamed("label", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     where = F.when(F.col("size") <= BLOCK * MOST_BLOCKS, F.concat(F.lit("cluster "), F.col("cluster"))).otherwise(F.concat(F.lit("band "), F.col("key")))
     grouped = apart.join(clusters.join(sizes, "cluster"), "node").select("node", "comp", where.alias("at")).distinct()
     blocks = grouped.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = grouped.join(blocks, "at").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = materialise(dealt, "near-dealt")
+    dealt = scratch.keep(dealt, "near-dealt")
     wanted = texts.join(dealt.select("node").distinct().hint("merge"), "node", "left_semi")
-    known = materialise(nodes.select("node", "n", "regs", "keys").join(wanted.hint("merge"), "node"), "near-known")
+    known = scratch.keep(nodes.select("node", "n", "regs", "keys").join(wanted.hint("merge"), "node"), "near-known")
     full = dealt.join(known, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("at", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "regs", "keys", "text")
-    kind = nodes.schema["node"].dataType.simpleString()
-    return materialise(full.groupBy("at", "i", "j").applyInArrow(block_links(width, threshold_percent), f"a {kind}, b {kind}").distinct(), "near-links")
+    return scratch.keep(full.groupBy("at", "i", "j").applyInArrow(block_links(width, threshold_percent), "a long, b long").distinct(), "near-links")
 
 
 def block_links(width: int, threshold_percent: int):
@@ -270,6 +286,15 @@ def block_links(width: int, threshold_percent: int):
                 x = root[x]
             return x
 
+        true_sets: dict[int, set] = {}
+
+        def true_set(k: int) -> set:
+            if k not in true_sets:
+                if len(true_sets) > BLOCK:
+                    true_sets.clear()
+                true_sets[k] = shingle_texts(group.column("text")[k].as_py(), width)
+            return true_sets[k]
+
         links = []
         for k in range(len(sets)):
             after = np.arange(k + 1, len(sets))
@@ -292,43 +317,59 @@ def block_links(width: int, threshold_percent: int):
                 at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[v], count)
                 both += np.bincount(holders[at], minlength=len(sets))
             for y in after[100 * both[after] >= threshold_percent * (n[after] + n[k] - both[after])]:
-                if find(comp[y]) != find(comp[k]):
+                if find(comp[y]) != find(comp[k]) and truly_alike(true_set(int(y)), true_set(k), threshold_percent):
                     root[find(comp[y])] = find(comp[k])
                     links.append((min(node[k], node[y]), max(node[k], node[y])))
-        kind = group.schema.field("node").type
-        return pa.table({"a": pa.array([a for a, _ in links], kind), "b": pa.array([b for _, b in links], kind)})
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return of
 
 
-def find_components(docs: DataFrame, width: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
-    threshold = threshold_percent / 100
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    sketches = materialise(sketch_documents(rows, width), "near-sketches")
-    classes = sketches.where(F.col("n") > 0).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("node"), F.min_by("regs", "doc_id").alias("regs"), F.min_by("keys", "doc_id").alias("keys"))
-    nodes = materialise(classes.where(F.col("node").isNotNull()), "near-classes")
+def place_rows(rows: DataFrame, width: int, threshold_percent: int) -> DataFrame:
+    """row, doc_id, n, component_id, first (whether it is its component's first row) for each of (row, doc_id, text)."""
+    threshold, scratch = threshold_percent / 100, Scratch()
+    sketches = scratch.keep(sketch_documents(rows, width), "near-sketches")
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = sketches.where(F.col("n") > 0).groupBy("f1", "f2", "n").agg(
+        F.min("row").alias("node"), F.min_by("regs", "row").alias("regs"), F.min_by("keys", "row").alias("keys"), F.min(lead).alias("lead")
+    )
+    nodes = scratch.keep(classes, "near-classes")
     banded = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where(F.col("size") > 1)
-    members = materialise(banded.join(shared.select("key", "first"), "key"), "near-members")
+    members = scratch.keep(banded.join(shared.select("key", "first"), "key"), "near-members")
     # The texts that confirmation may need, fetched once; joins with texts and registers are merge joins at any size.
     wanted = members.select("node").distinct().hint("merge")
-    texts = rows.select(F.col("doc_id").alias("node"), "text").join(wanted, "node", "left_semi")
-    texts = materialise(texts.dropDuplicates(["node"]), "near-texts")
+    texts = scratch.keep(rows.select(F.col("row").alias("node"), "text").join(wanted, "node", "left_semi"), "near-texts")
 
-    pairs = materialise(members.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    links = materialise(confirm(materialise(likely_pairs(pairs, nodes, threshold), "near-likely"), texts, width, threshold_percent).distinct(), "near-links")
-    labels = components(links)
-    found = compare_blocks(apart_members(members, labels), nodes, texts, width, threshold_percent)
+    pairs = scratch.keep(members.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
+    likely = scratch.keep(likely_pairs(pairs, nodes, threshold), "near-likely")
+    links = scratch.keep(confirm(likely, texts, width, threshold_percent).distinct(), "near-links")
+    labels = components(links, scratch)
+    found = compare_blocks(apart_members(members, labels, scratch), nodes, texts, width, threshold_percent, scratch)
     if not found.isEmpty():
-        labels = components(links.unionByName(found))
-    own = nodes.select("f1", "f2", "n", "node").join(labels, "node", "left").select("f1", "f2", "n", F.coalesce("label", "node").alias("component"))
-    result = sketches.select("doc_id", "n", "f1", "f2").join(own, ["f1", "f2", "n"], "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        labels = components(links.unionByName(found), scratch)
+    placed = nodes.join(labels, "node", "left").select("f1", "f2", "n", "lead", F.coalesce("label", "node").alias("label"))
+    first = placed.groupBy("label").agg(F.min("lead").alias("first"))
+    own = scratch.keep(placed.join(first, "label").select("f1", "f2", "n", "first"), "near-components")
+    scratch.drop(sketches, own)
+    result = sketches.select("row", "doc_id", "n", "f1", "f2").join(own, ["f1", "f2", "n"], "left")
+    alone = F.col("first").isNull()
+    return result.select(
+        "row", "doc_id", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.row") == F.col("row"))).alias("first")
+    )
 
 
-def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) with the least doc_id of their component."""
-    found = find_components(docs, width, threshold_percent)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+def find_components(docs: DataFrame, width: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    placed = place_rows(numbered(docs, doc_id, text), width, threshold_percent)
+    return placed.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with their own columns, that are the first of their component: the least doc_id, of equal ones any one row;
+    and the rows without a set."""
+    own = f"row_{uuid.uuid4().hex}"
+    held = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    placed = place_rows(held.select(F.col(own).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, threshold_percent)
+    gone = placed.where(~F.col("first")).select(F.col("row").alias(own))
+    return held.join(gone, own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -128,7 +128,7 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], text: str = "text", sample_
     for rule in rules:
         seconds, hits = timed(rule.rejects)
         measured.append(Measured(rule, max(seconds - idle, 1e-4), hits / n))
-    discard(docs.sparkSession, sample)
+    discard(sample)
     return sorted(measured, key=lambda m: (-m.worth, m.rule.name))
 
 

@@ -1,49 +1,56 @@
 """What the operators of this package have in common: scratch tables, Arrow text buffers, word hashes.
 
 Texts reach Python as Arrow buffers and stay there: a batch of documents is one array of UTF-8 bytes
-with offsets, words are found with numpy over the whole batch, and a word's hash is a polynomial over
-its bytes modulo 2**64, mixed.  A null text counts as an empty one everywhere in this package.
+with offsets, and words are found with numpy over the whole batch.  A word's 64-bit hash takes eight bytes at
+a time through a bijection of its state (words of more than 64 bytes: BLAKE2b).  Such hashes choose what is
+compared; what decides is the text itself or its 128-bit BLAKE2b digest.  A null text counts as an empty one
+everywhere in this package.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once, and bytes of text that numpy works on at once.
 ROWS_PER_BATCH = 512
 BYTES_PER_SLICE = 2 << 20
 
-_own_dir: str | None = None
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds a Python worker's memory: long texts make the default of 10,000 rows too many."""
+    """Bounds a Python worker's memory: long texts make the default of 10,000 rows a batch too many.  Spark reads this when
+    a plan runs, so it is set in the session and stays lowered there."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+_own_dir: str | None = None
+
+
 def scratch_base(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where it names none (tests)."""
+    """The shared folder that the session names.  Where it names none, a temporary one on one machine (tests), an error on a cluster."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="loomstream-")
-        import shutil
-
         atexit.register(shutil.rmtree, _own_dir, True)
     return f"file://{_own_dir}"
 
@@ -57,12 +64,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table of materialise() that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """The tables that an operator makes on its way."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialise(df, name))
+        return self.tables[-1]
+
+    def drop(self, *but: DataFrame) -> None:
+        """Deletes all of them but those that the result still reads."""
+        discard(*(t for t in self.tables if all(t is not b for b in but)))
+        self.tables = [t for t in self.tables if any(t is b for b in but)]
+
+
+def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """row, doc_id, text: each row under a number of its own, fixed in a table, since a doc_id may be null or repeat."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rows")
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = BYTES_PER_SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -115,29 +144,8 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) ->
 
 
 R1, R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(r: np.uint64, n: int) -> np.ndarray:
-    """r**0 ... r**n modulo 2**64."""
-    have = _powers.get(int(r))
-    if have is None or len(have) <= n:
-        size = max(n + 1, BYTES_PER_SLICE + 1)
-        have = np.empty(size, np.uint64)
-        have[0] = 1
-        done = 1
-        with np.errstate(over="ignore"):
-            while done < size:
-                step = min(done, size - done)
-                have[done : done + step] = have[:step] * np.uint64(pow(int(r), done, 1 << 64))
-                done += step
-        if size <= 4 * BYTES_PER_SLICE:
-            _powers[int(r)] = have
-    return have
-
-
-def inverse(r: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(r), -1, 1 << 64))
+#: Bytes of a word that are hashed by numpy; longer words are digested.
+LONGEST = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -148,29 +156,58 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, r: np.uint64 = R1) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte of data on as a number; beyond the end are zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = R1) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, the same wherever the word stands; other seeds give other hashes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    eight = loads(data)
+    lengths = ends - starts
     with np.errstate(over="ignore"):
-        terms = (data.astype(np.uint64) + np.uint64(1)) * powers(r, len(data))[: len(data)]
-        marks = np.zeros(len(data) + 1, np.int8)
-        marks[starts] += 1
-        marks[ends] -= 1
-        terms[np.cumsum(marks[:-1], dtype=np.int8) == 0] = 0
-        total = np.add.reduceat(terms, starts)
-        back = powers(inverse(r), len(data))[starts]
-        return mix(total * back + (ends - starts).astype(np.uint64))
+        h = mix(lengths.astype(np.uint64) + seed)
+        at = np.flatnonzero(lengths > 0)
+        for k in range(0, LONGEST, 8):
+            left = (lengths[at] - k).clip(max=8).astype(np.uint64)
+            part = eight[starts[at] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (left << np.uint64(3))))
+            h[at] = mix(h[at] ^ part)
+            at = at[lengths[at] > k + 8]
+            if not len(at):
+                break
+    for i in at:
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(seed).to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def fixed_bytes(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Binary values of one width as rows of bytes."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + len(column) * width].reshape(-1, width)
+
+
+def digests(pieces: Iterable[bytes]) -> np.ndarray:
+    """Two 64-bit numbers for each piece, its 128-bit BLAKE2b digest (n x 2)."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(p, digest_size=16).digest() for p in pieces]), np.int64).reshape(-1, 2)
 
 
-def run_hashes(hashes: np.ndarray, n: int, r: np.uint64 = R2) -> np.ndarray:
+def run_hashes(hashes: np.ndarray, n: int, seed: np.uint64 = R2) -> np.ndarray:
     """A hash of each run of n consecutive values (across rows too; the caller keeps to its rows)."""
     count = max(0, len(hashes) - n + 1)
-    out = np.zeros(count, np.uint64)
+    out = np.full(count, seed, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(n):
-            out = out * r + hashes[j : j + count]
-        return mix(out)
+            out = mix(out + hashes[j : j + count])
+    return out
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:

@@ -4,105 +4,108 @@ A byte is removed if a string of LENGTH bytes around it also starts anywhere els
 another place of its own.  A full suffix array would ship every suffix; this one holds the suffixes that
 start at anchors: every string of LENGTH bytes is filed under the first place of the least hash of the LEAD-byte strings in it.
 Equal strings have their anchors at the same place, so every repetition shows at an anchor, with about one
-suffix for 85 bytes.  Consecutive strings with one anchor make one stretch; its row holds the suffix's first LEAD
-bytes (its leading tokens) and a hash of all the stretch's bytes.
+suffix for 85 bytes.  Consecutive strings with one anchor make one stretch; its key is the suffix's first LEAD
+bytes (its leading tokens) and then the 128-bit BLAKE2b digest of all the stretch's bytes.
 
-* Splitters are a sorted sample of suffixes; they deal the suffixes out into buckets of like size by leading
-  bytes.  A suffix that takes up several splitters is spread over all buckets between them.
+* Splitters are a sorted sample of keys; they deal the suffixes out into buckets of like size by leading
+  bytes.  A key that takes up several splitters is spread over all buckets between them.
 * A bucket sorts its suffixes by multikey quicksort: on eight leading bytes, then, among ties only, on the next eight.
-* Neighbours are compared in each bucket, and across boundaries by each bucket's first and last suffix: a
+* Neighbours are compared in each bucket, and across boundaries by each bucket's first and last key: a
   stretch that stands twice is a repetition as a whole; suffixes that share their leading bytes but not their
   stretch are open.
-* The strings of open stretches are taken from the texts and compared by 128-bit digests: strings under one
-  anchor in one bucket where these are few, and by a shuffle on the digest where an anchor has very many.
+* The strings of open stretches are taken from the texts.  Those under one anchor are brought together by a hash and then
+  compared byte by byte; where an anchor has very many, they meet by a shuffle on the 128-bit digest of each string.
 
 Defined results: a null text is an empty one; texts shorter than LENGTH keep all bytes; a row that repeats
 another has all its bytes removed, as the other has, if it is LENGTH bytes long; an empty table gives no
-rows.  doc_id identifies a row's place together with the text's own number, so repeated doc_ids are allowed.
+rows.  Rows are told apart by a number of their own, so a doc_id may be null, repeat or be of any type.  Only the
+columns doc_id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import R1, R2, inverse, materialise, mix, powers, signed, slices, sliding_min, small_batches
+from .shared import digests, discard, fixed_bytes, loads, materialise, mix, numbered, signed, slices, sliding_min, small_batches
 
-LENGTH, LEAD = 200, 32
-#: Suffixes of a bucket, about, and sampled suffixes for each bucket.
-BUCKET, SAMPLED = 50_000, 20
+LENGTH, LEAD, DIGEST = 200, 32, 16
+#: Suffixes of a bucket, about, and sampled keys for each bucket.  Beyond MANY buckets these grow to LARGE suffixes, and fewer
+#: keys are sampled for each, so that splitters stay at 48 bytes for LARGE suffixes.
+BUCKET, SAMPLED, MANY, LARGE = 50_000, 20, 1 << 16, 500_000
 #: Open stretches that are compared in one task, about, and those of one anchor at most.
 PIECES, TOGETHER = 4_000, 50_000
-
-
-class Rolling:
-    """Hashes of any substring of data, from sums of its bytes times powers of r."""
-
-    def __init__(self, data: np.ndarray, r: np.uint64):
-        with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(r, len(data))[: len(data)], out=self.sums[1:])
-            self.back = powers(inverse(r), len(data))
-
-    def each(self, n: int) -> np.ndarray:
-        """Of every n consecutive bytes."""
-        count = max(0, len(self.sums) - n)
-        with np.errstate(over="ignore"):
-            return mix((self.sums[n : n + count] - self.sums[:count]) * self.back[:count])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+#: Bytes that are compared at once.
+COMPARED = 1 << 22
+
+
+def byte_runs(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n consecutive bytes, put together from halves."""
+    count = max(0, len(data) - n + 1)
+    with np.errstate(over="ignore"):
+        h = loads(data) & np.uint64(0xFFFFFFFFFFFFFFFF if n >= 8 else (1 << 8 * n) - 1)
+        h = h * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        have = min(8, n)
+        while have < n:
+            step = min(have, n - have)
+            h = h[: len(h) - step] * np.uint64(0xD6E8FEB86659FD93) + h[step:]
+            h ^= h >> np.uint64(29)
+            have += step
+        return h[:count] * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def whole_strings(count: int, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Whether each of so many strings of length bytes lies between two offsets."""
+    inside = np.ones(max(0, count), bool)
+    for edge in offsets[1:-1]:
+        inside[max(0, edge - length + 1) : edge] = False
+    return inside
 
 
 def byte_stretches(data: np.ndarray, offsets: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, ...]:
-    """row, first string, number of strings, anchor and body hash of each stretch."""
+    """row, first string, number of strings and anchor of each stretch."""
     count = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if count <= 0:
-        return none, none, none, none, none.astype(np.uint64)
-    rolling = Rolling(data, R1)
-    leads = rolling.each(lead) >> np.uint64(32) << np.uint64(32)
+        return none, none, none, none
+    leads = byte_runs(data, lead) >> np.uint64(32) << np.uint64(32)
     # The place of the first least value in each string: value in the upper half, place in the lower.
     least = sliding_min(leads | np.arange(len(leads), dtype=np.uint64), length - lead + 1)[:count]
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    inside = np.ones(count, bool)
-    for edge in offsets[1:-1]:
-        inside[max(0, edge - length + 1) : edge] = False
+    inside = whole_strings(count, offsets, length)
     new = np.ones(count, bool)
     new[1:] = (place[1:] != place[:-1]) | ~inside[:-1]
     new &= inside
     start = np.flatnonzero(new)
     if not len(start):
-        return none, none, none, none, none.astype(np.uint64)
+        return none, none, none, none
     n = np.add.reduceat(inside.astype(np.int64), start)
-    body = rolling.of(start, start + n + length - 1)
-    row = np.searchsorted(offsets, start, "right") - 1
-    return row, start, n, place[start], body
+    return np.searchsorted(offsets, start, "right") - 1, start, n, place[start]
 
 
-def suffixes(docs: DataFrame, length: int, lead: int) -> DataFrame:
-    """head (leading bytes), body, doc_id, at, n: a row for each stretch."""
-    small_batches(docs.sparkSession)
+def suffixes(rows: DataFrame, length: int, lead: int) -> DataFrame:
+    """row, key (leading bytes, then the digest of the stretch), at, n: a row for each stretch."""
+    small_batches(rows.sparkSession)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                row, start, n, anchor, body = byte_stretches(data, offsets, length, lead)
+                row, start, n, anchor = byte_stretches(data, offsets, length, lead)
                 raw = data.tobytes()
-                heads = [raw[a : a + lead] for a in anchor.tolist()]
+                spans = zip(anchor.tolist(), start.tolist(), (start + n + length - 1).tolist())
+                keys = [raw[a : a + lead] + blake2b(raw[s:e], digest_size=DIGEST).digest() for a, s, e in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(heads, pa.binary()), pa.array(signed(body)), part.column("doc_id").take(pa.array(row)), pa.array((start - offsets[row]).astype(np.int32)),
-                     pa.array(n.astype(np.int32))],
-                    ["head", "body", "doc_id", "at", "n"],
+                    [part.column("row").take(pa.array(row)), pa.array(keys, pa.binary()), pa.array((start - offsets[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    ["row", "key", "at", "n"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"head binary, body long, doc_id {kind}, at int, n int")
+    return rows.select("row", "text").mapInArrow(of, "row long, key binary, at int, n int")
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -123,22 +126,17 @@ def multikey_order(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def head_words(heads: pa.Array, lead: int) -> np.ndarray:
-    return np.frombuffer(b"".join(heads.to_pylist()), ">u8").reshape(-1, lead // 8)
-
-
-def sort_keys(heads: list[bytes], body: np.ndarray) -> np.ndarray:
-    """head and body as one string each, ordered as (head, body) is."""
-    tail = (body.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes()
-    return np.array([h + tail[8 * i : 8 * i + 8] for i, h in enumerate(heads)], f"S{len(heads[0]) + 8}") if heads else np.zeros(0, "S1")
+def bucket_count(total: int) -> int:
+    return max(1, min(MANY, -(-total // BUCKET)), -(-total // LARGE))
 
 
 def deal_out(rows: DataFrame, lead: int) -> DataFrame:
     """rows with ``bucket``, between sampled splitters."""
     total = rows.count()
-    count = max(1, min(1 << 16, -(-total // BUCKET)))
-    drawn = rows.select("head", "body").sample(fraction=min(1.0, count * SAMPLED / max(1, total)), seed=11).toArrow()
-    drawn = np.sort(sort_keys(drawn.column("head").to_pylist(), np.asarray(drawn.column("body"))))
+    count, width = bucket_count(total), lead + DIGEST
+    sampled = SAMPLED if count <= MANY else SAMPLED // 5
+    drawn = rows.select("key").sample(fraction=min(1.0, count * sampled / max(1, total)), seed=11).toArrow()
+    drawn = np.sort(fixed_bytes(drawn.column("key"), width).view(f"S{width}").ravel())
     splitters = drawn[np.linspace(0, len(drawn) - 1, count + 1).astype(int)[1:-1]] if len(drawn) else drawn
     shared = rows.sparkSession.sparkContext.broadcast(splitters)
 
@@ -146,7 +144,7 @@ def deal_out(rows: DataFrame, lead: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = sort_keys(batch.column("head").to_pylist(), np.asarray(batch.column("body")))
+            keys = fixed_bytes(batch.column("key"), width).view(f"S{width}").ravel()
             low = np.searchsorted(shared.value, keys, "left")
             high = np.searchsorted(shared.value, keys, "right")
             spread = np.asarray(batch.column("at")).astype(np.int64) * 31 + np.arange(len(keys))
@@ -156,20 +154,19 @@ def deal_out(rows: DataFrame, lead: int) -> DataFrame:
     return rows.mapInArrow(of, rows.withColumn("bucket", F.lit(0)).schema)
 
 
-def boundaries(dealt: DataFrame) -> tuple[set[tuple[bytes, int]], set[bytes]]:
-    """From each bucket's first and last suffix: the (head, body) that several buckets hold, and the heads
-    that show different bodies across a boundary."""
-    key = F.struct("head", "body")
-    ends = dealt.groupBy("bucket").agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
-    seen: dict[tuple[bytes, int], int] = {}
-    bodies: dict[bytes, set[int]] = {}
+def boundaries(dealt: DataFrame, lead: int) -> tuple[set[bytes], set[bytes]]:
+    """From each bucket's first and last suffix: the keys that several buckets hold, and the leading bytes
+    that show different stretches across a boundary."""
+    ends = dealt.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).collect()  # two keys a bucket
+    seen: dict[bytes, int] = {}
+    bodies: dict[bytes, set[bytes]] = {}
     holders: dict[bytes, int] = {}
     for r in ends:
-        own = {(bytes(r["first"]["head"]), r["first"]["body"]), (bytes(r["last"]["head"]), r["last"]["body"])}
-        for head, body in own:
-            seen[head, body] = seen.get((head, body), 0) + 1
-            bodies.setdefault(head, set()).add(body)
-        for head in {h for h, _ in own}:
+        own = {bytes(r["first"]), bytes(r["last"])}
+        for key in own:
+            seen[key] = seen.get(key, 0) + 1
+            bodies.setdefault(key[:lead], set()).add(key)
+        for head in {key[:lead] for key in own}:
             holders[head] = holders.get(head, 0) + 1
     return {k for k, n in seen.items() if n > 1}, {h for h, n in holders.items() if n > 1 and len(bodies[h]) > 1}
 
@@ -181,61 +178,90 @@ REPEATED, OPEN, PARTNER = 0, 1, 2
 def compare_bucket(lead: int, shared):
     def of(bucket: pa.Table) -> pa.Table:
         again, across = shared.value
-        heads = bucket.column("head").combine_chunks()
-        body = np.asarray(bucket.column("body")).view(np.uint64) ^ np.uint64(1 << 63)  # in the order that splitters and boundaries() have
-        words = np.column_stack([head_words(heads, lead), body])
+        keys = fixed_bytes(bucket.column("key"), lead + DIGEST)
+        words = keys.view(">u8").astype(np.uint64)
         order = multikey_order(words)
         w = words[order]
         new_key = np.ones(len(w), bool)
         new_key[1:] = (w[1:] != w[:-1]).any(axis=1)
         new_head = np.ones(len(w), bool)
-        new_head[1:] = (w[1:, :-1] != w[:-1, :-1]).any(axis=1)
+        new_head[1:] = (w[1:, : lead // 8] != w[:-1, : lead // 8]).any(axis=1)
         key, head = np.cumsum(new_key) - 1, np.cumsum(new_head) - 1
         first_of_key, first_of_head = np.flatnonzero(new_key), np.flatnonzero(new_head)
         several = np.bincount(key) > 1
         mixed = np.bincount(head[first_of_key]) > 1
-        own = bucket.column("body")
         if again or across:
             for place in {0, len(first_of_key) - 1}:  # only these can go on in another bucket
-                at = int(order[first_of_key[place]])
-                several[place] |= (heads[at].as_py(), own[at].as_py()) in again
+                several[place] |= keys[order[first_of_key[place]]].tobytes() in again
             for place in {0, len(first_of_head) - 1}:
-                mixed[place] |= heads[int(order[first_of_head[place]])].as_py() in across
+                mixed[place] |= keys[order[first_of_head[place]]].tobytes()[:lead] in across
         repeated = several[key]
-        anchor = mix(w[:, 0] ^ mix(w[:, 1] ^ mix(w[:, 2] ^ mix(w[:, 3])))) if lead == 32 else mix(w[:, :-1].sum(axis=1))
+        anchor = np.zeros(len(w), np.uint64)
+        for column in w.T[: lead // 8]:
+            anchor = mix(anchor ^ column)
         shown = mixed[head]
         chosen = [(REPEATED, np.flatnonzero(repeated)), (OPEN, np.flatnonzero(shown & ~repeated)), (PARTNER, np.flatnonzero(shown & repeated & new_key))]
         at = np.concatenate([c for _, c in chosen])
-        rows = bucket.select(["doc_id", "at", "n"]).take(pa.array(order[at]))
+        rows = bucket.select(["row", "at", "n"]).take(pa.array(order[at]))
         rows = rows.append_column("kind", pa.array(np.concatenate([np.full(len(c), k, np.int32) for k, c in chosen])))
         return rows.append_column("anchor", pa.array(signed(anchor[at])))
 
     return of
 
 
+def same_strings(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the length bytes from each place of a are those from the place of b.  Neighbours with neighbours as
+    partners are compared in one go."""
+    good = np.zeros(len(a), bool)
+    order = np.lexsort((a, b - a))
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(x))) + length - 1  # bytes of each run of pairs
+    cut = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + COMPARED, COMPARED)))
+    cut = np.unique(np.concatenate(([0], cut, [len(first)])))
+    for low, high in zip(cut[:-1], cut[1:]):
+        size = sizes[low:high]
+        begin = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(begin, size)
+        differ = data[np.repeat(x[first[low:high]], size) + step] != data[np.repeat(y[first[low:high]], size) + step]
+        bad = np.concatenate(([0], np.cumsum(differ)))
+        pairs = size - length + 1
+        at = np.repeat(begin, pairs) + np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        good[order[first[low] : first[low] + pairs.sum()]] = bad[at + length] == bad[at]
+    return good
+
+
 def repeated_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> list[np.ndarray]:
     """For each piece (bytes between offsets): whether each of its strings stands twice among all pieces."""
-    rolling = (Rolling(data, R1), Rolling(data, R2))
     count = len(data) - length + 1
-    inside = np.ones(max(0, count), bool)
-    for edge in offsets[1:-1]:
-        inside[max(0, edge - length + 1) : edge] = False
-    h1, h2 = (r.each(length)[inside] for r in rolling)
-    order = np.lexsort((h2, h1))
-    same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-    twice = np.zeros(len(h1), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    place = np.flatnonzero(whole_strings(count, offsets, length))
+    h = byte_runs(data, length)[place]
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    alike = np.flatnonzero(same)
+    good = same_strings(data, place[order[alike]], place[order[alike + 1]], length)
+    twice = np.zeros(len(h), bool)
+    twice[order[alike]] = True
+    twice[order[alike + 1]] = True
+    if not good.all():  # different strings under one hash: their group is sorted out one by one
+        group = np.concatenate(([0], np.cumsum(~same)))
+        for g in np.unique(group[alike[~good]]):
+            members = order[group == g]
+            strings = [data[p : p + length].tobytes() for p in place[members]]
+            twice[members] = [strings.count(s) > 1 for s in strings]
     whole = np.zeros(max(0, count), bool)
-    whole[np.flatnonzero(inside)[twice]] = True
+    whole[place[twice]] = True
     return [whole[offsets[i] : offsets[i + 1] - length + 1] for i in range(len(offsets) - 1)]
 
 
 def compare_pieces(length: int):
     def of(bucket: pa.Table) -> pa.Table:
-        pieces = bucket.column("piece").to_pylist()
-        offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-        found = repeated_runs(np.frombuffer(b"".join(pieces), np.uint8), offsets, length)
+        piece = bucket.column("piece").combine_chunks()
+        ends = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1].astype(np.int64)
+        data = np.frombuffer(piece.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        found = repeated_runs(data, ends - ends[0], length)
         kind, at = bucket.column("kind").to_pylist(), bucket.column("at").to_pylist()
         row, starts, counts = [], [], []
         for i, twice in enumerate(found):
@@ -245,15 +271,15 @@ def compare_pieces(length: int):
                     row.append(i)
                     starts.append(at[i] + a)
                     counts.append(b - a)
-        docs = bucket.column("doc_id").combine_chunks().take(pa.array(row, pa.int64()))
-        return pa.table({"doc_id": docs, "at": pa.array(starts, pa.int32()), "n": pa.array(counts, pa.int32())})
+        rows = bucket.column("row").combine_chunks().take(pa.array(row, pa.int64()))
+        return pa.table({"row": rows, "at": pa.array(starts, pa.int32()), "n": pa.array(counts, pa.int32())})
 
     return of
 
 
 def pieces_of(open_rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, at, kind, piece (the stretch's bytes) for each open stretch and partner."""
-    spans = open_rows.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "kind", "anchor")).alias("spans"))
+    """anchor, row, at, kind, piece (the stretch's bytes) for each open stretch and partner."""
+    spans = open_rows.groupBy("row").agg(F.collect_list(F.struct("at", "n", "kind", "anchor")).alias("spans"))
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,61 +296,59 @@ def pieces_of(open_rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 columns = list(zip(*out)) or [(), (), (), ()]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "anchor", "at", "kind", "piece"]
+                    [part.column("row").take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["row", "anchor", "at", "kind", "piece"]
                 )
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    joined = texts.join(spans, "doc_id").select("doc_id", "text", "spans")
-    return joined.mapInArrow(of, f"doc_id {kind}, anchor long, at int, kind int, piece binary")
+    joined = texts.join(spans, "row").select("row", "text", "spans")
+    return joined.mapInArrow(of, "row long, anchor long, at int, kind int, piece binary")
 
 
 def strings_of(pieces: DataFrame, length: int) -> DataFrame:
-    """h1, h2, doc_id, at, kind of every string of the pieces."""
+    """h1, h2 (its digest), row, at, kind of every string of the pieces."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, i in zip(batch.column("piece").to_pylist(), range(batch.num_rows)):
-                data = np.frombuffer(piece, np.uint8)
-                h1, h2 = Rolling(data, R1).each(length), Rolling(data, R2).each(length)
-                same = pa.array(np.full(len(h1), i))
-                at = np.arange(len(h1), dtype=np.int32) + batch.column("at")[i].as_py()
+            for i, piece in enumerate(batch.column("piece").to_pylist()):
+                h = digests(piece[k : k + length] for k in range(len(piece) - length + 1))
+                same = pa.array(np.full(len(h), i))
+                at = np.arange(len(h), dtype=np.int32) + batch.column("at")[i].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h1)), pa.array(signed(h2)), batch.column("doc_id").take(same), pa.array(at), batch.column("kind").take(same)], ["h1", "h2", "doc_id", "at", "kind"]
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column("row").take(same), pa.array(at), batch.column("kind").take(same)], ["h1", "h2", "row", "at", "kind"]
                 )
 
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.select("doc_id", "at", "kind", "piece").mapInArrow(of, f"h1 long, h2 long, doc_id {kind}, at int, kind int")
-
-
-def repeated_strings(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
-    """doc_id, at, n: runs of n strings, the first at byte ``at``, that start elsewhere too."""
-    spark = docs.sparkSession
-    rows = materialise(suffixes(docs, length, lead), "suffixes")
-    dealt = deal_out(rows, lead)
-    shared = spark.sparkContext.broadcast(boundaries(dealt))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    compared = dealt.groupBy("bucket").applyInArrow(compare_bucket(lead, shared), f"doc_id {kind}, at int, n int, kind int, anchor long")
-    compared = materialise(compared, "suffix-matches")
-    found = compared.where(F.col("kind") == REPEATED).select("doc_id", "at", "n")
-    pieces = materialise(pieces_of(compared.where(F.col("kind") != REPEATED), docs, length), "suffix-pieces")
+    return pieces.select("row", "at", "kind", "piece").mapInArrow(of, "h1 long, h2 long, row long, at int, kind int")
+
+
+def repeated_strings(rows: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
+    """row, at, n: runs of n strings, the first at byte ``at``, that start elsewhere too; rows has row and text."""
+    spark = rows.sparkSession
+    array = materialise(suffixes(rows, length, lead), "suffixes")
+    dealt = deal_out(array, lead)
+    shared = spark.sparkContext.broadcast(boundaries(dealt, lead))
+    compared = materialise(dealt.groupBy("bucket").applyInArrow(compare_bucket(lead, shared), "row long, at int, n int, kind int, anchor long"), "suffix-matches")
+    discard(array)
+    found = compared.where(F.col("kind") == REPEATED).select("row", "at", "n")
+    pieces = materialise(pieces_of(compared.where(F.col("kind") != REPEATED), rows, length), "suffix-pieces")
     anchors = pieces.groupBy("anchor").agg(F.count("*").alias("size"))
     hot = anchors.where(F.col("size") > TOGETHER).select("anchor")
     groups = max(1, -(-pieces.count() // PIECES))
     few = pieces.join(hot, "anchor", "left_anti").withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-    local = few.groupBy("group").applyInArrow(compare_pieces(length), f"doc_id {kind}, at int, n int")
-    found = found.unionByName(local)
+    found = found.unionByName(few.groupBy("group").applyInArrow(compare_pieces(length), "row long, at int, n int"))
+    used = [compared, pieces]
     if not hot.isEmpty():
         strings = materialise(strings_of(pieces.join(hot, "anchor", "left_semi"), length), "suffix-strings")
         twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        found = found.unionByName(strings.where(F.col("kind") == OPEN).join(twice, ["h1", "h2"]).select("doc_id", "at", F.lit(1).alias("n")))
+        found = found.unionByName(strings.where(F.col("kind") == OPEN).join(twice, ["h1", "h2"]).select("row", "at", F.lit(1).alias("n")))
+        used.append(strings)
+    found = materialise(found, "suffix-found")
+    discard(*used)
     return found
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for each row of docs."""
-    rows = docs.select("doc_id", "text")
-    found = materialise(repeated_strings(rows, length, lead), "suffix-found")
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    rows = numbered(docs)
+    spans = repeated_strings(rows, length, lead).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,6 +375,6 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> Data
                 [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = rows.join(spans, "doc_id", "left")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    joined = rows.join(spans, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(of, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
