@@ -1,13 +1,14 @@
 """Secret scans: known forms, and sliding-window Shannon entropy over candidate strings.
 
 Known forms (kinds ``assign``, ``access``, ``hex``) are regular expressions with a least length.  Besides
-them, every run of 20 or more characters that keys are made of is a candidate; in it each character class
-(hexadecimal; letters, digits and base64 marks) has a window slid over its runs.  The window's entropy is
-kept by incremental counts: one character enters, one leaves, and only their two counts change.  Windows
-at or above the class's threshold are joined to spans of kind ``entropy``.
-
-The allow-list suppresses what is random-looking but public or no secret: UUIDs, runs of letters with at
-most a leading capital (words), words joined by ``-``, ``_`` or ``/``, strings of one repeated unit, digests
+them, every run of 20 or more characters that keys are made of is a candidate; in it each character class (hexadecimal;
+lower case and digits; upper case and digits; letters, digits and base64 marks) has a window slid over its runs.  The window's
+entropy is kept by incremental counts: one character enters, one leaves, and only their two counts change.  Windows
+at or above the class's threshold are joined to spans of kind ``entropy``.  A threshold is the entropy that 99 of 100 windows of
+random characters of the class reach (base32 for upper case).
+
+The allow-list suppresses what is random-looking but public or no secret: UUIDs, letters of one case (words), words in camel
+case, words and short numbers joined by ``-``, ``_``, ``/``, ``+`` or ``=``, strings of one repeated unit, digests
 that name their algorithm, and whatever patterns the caller adds.  It applies to entropy spans alone; known
 forms always stay.  An entropy span inside a span of a known form is not reported again.
 
@@ -37,17 +38,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: Character class: its runs, the window's length, and the entropy in bits at which a window counts.
+#: Character class: its runs, the window's length, the entropy in bits at which a window counts, and what a run must hold too.
 CLASSES = (
-    (re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}"), 32, 3.3),
-    (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.85),
+    (re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}"), 32, 3.27, re.compile(r"[0-9]")),
+    (re.compile(r"(?<![a-z0-9])[a-z0-9]{20,}"), 20, 3.4, re.compile(r"[a-z][0-9]|[0-9][a-z]")),
+    (re.compile(r"(?<![A-Z0-9])[A-Z0-9]{20,}"), 20, 3.32, re.compile(r"[A-Z][0-9]|[0-9][A-Z]")),
+    (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.64, re.compile(r"[a-z][^a-z]*[A-Z]|[A-Z][^A-Z]*[a-z]")),
 )
+#: Each of these matches in one way only, so none takes more than linear time.
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+"),
-    re.compile(r"[-/_=+]*(?:(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})[-/_=+]+)+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})?"),
+    re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}"),
     re.compile(r"(.{1,4}?)\1+.{0,3}"),
 )
+MARKS = re.compile(r"[-/_=+]+")
+PART = re.compile(r"[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,4}|")
 #: Before a span: it is a digest and says so.
 DIGEST_NAME = re.compile(r"(?:md5|sha-?(?:1|256|384|512))[:=-]\Z", re.IGNORECASE)
 
@@ -79,13 +85,12 @@ def busy_runs(text: str, window: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def is_allowed(text: str, start: int, end: int, candidate: tuple[int, int], extra: tuple[re.Pattern, ...]) -> bool:
-    whole = text[candidate[0] : candidate[1]]
-    if any(p.fullmatch(whole) for p in ALLOWED) or any(p.fullmatch(text[start:end]) for p in ALLOWED):
-        return True
-    if any(p.search(whole) for p in extra):
+def is_plain(text: str) -> bool:
+    """Whether a string is public, a word, or words joined by marks."""
+    if any(p.fullmatch(text) for p in ALLOWED):
         return True
-    return bool(DIGEST_NAME.search(text[max(0, start - 8) : start]))
+    parts = MARKS.split(text)
+    return len(parts) > 1 and all(PART.fullmatch(p) for p in parts)
 
 
 def scan(text: str, allow: tuple[re.Pattern, ...] = ()) -> list[tuple[int, str, int]]:
@@ -98,12 +103,18 @@ def scan(text: str, allow: tuple[re.Pattern, ...] = ()) -> list[tuple[int, str,
     reach = list(accumulate((e for _, _, e in base), max))  # the furthest end of this and earlier spans
     entropy: set[tuple[int, int]] = set()
     for m in CANDIDATE.finditer(text):
-        for chars, window, least in CLASSES:
+        if is_plain(m[0]) or any(p.search(m[0]) for p in allow):
+            continue
+        for chars, window, least, holds in CLASSES:
             for run in chars.finditer(text, m.start(), m.end()):
+                if not holds.search(run[0]):
+                    continue
                 for a, b in busy_runs(run[0], window, least):
                     a, b = run.start() + a, run.start() + b
                     before = bisect_right(starts, a)
-                    if not (before and reach[before - 1] >= b) and not is_allowed(text, a, b, m.span(), allow):
+                    if before and reach[before - 1] >= b:
+                        continue
+                    if not is_plain(text[a:b]) and not DIGEST_NAME.search(text[max(0, a - 8) : a]):
                         entropy.add((a, b))
     furthest = -1
     for a, b in sorted(entropy, key=lambda x: (x[0], -x[1])):  # a span inside another is not reported

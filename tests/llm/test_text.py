@@ -45,6 +45,44 @@ def test_decontaminate_of_null_and_repeated_doc_ids(spark, as_table, tricky, blo
     assert [r["doc_id"] for r in kept.collect()] == [8]
 
 
+def test_longest_matches(spark, as_table, tricky):
+    words = tricky[10][1].split()
+    items = [("a", " ".join(words[5:40])), ("b", "lonely"), ("c", " ".join(["other", *words[60:80], "end"]))]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(1, " ".join(words[:30])), (2, "x " + " ".join(words[10:60])), (3, " ".join(words[62:90])), (4, "a LONELY word"), (5, None)]
+    got = {(r["item_id"], r["item_at"]): (r["n"], r["doc_id"], r["at"]) for r in decontaminate.longest_matches(as_table(docs), table).collect()}
+
+    def longest(item, place):  # by trying every place
+        mine, best = item.split()[place:], (0, 0, 0)
+        for i, t in docs:
+            own = (t or "").lower().split()
+            for k in range(len(own)):
+                n = next((j for j in range(min(len(mine), len(own) - k)) if mine[j] != own[k + j]), min(len(mine), len(own) - k))
+                best = max(best, (n, -i, -k))
+        return best[0], -best[1], -best[2]
+
+    assert got[("a", 0)] == longest(items[0][1], 0) == (25, 1, 5) and got[("a", 5)] == longest(items[0][1], 5) == (30, 2, 1)
+    assert got[("b", 0)] == (1, 4, 1) and got[("c", 3)] == longest(items[2][1], 3) == (18, 3, 0)
+
+
+@pytest.mark.parametrize("clash", [True, False])
+def test_decontaminate_compares_words(spark, as_table, monkeypatch, clash):
+    import numpy as np
+
+    from .test_dedup import thue_morse
+
+    one, other = thue_morse()
+    if clash:  # every word of seven bytes has one hash
+        real = decontaminate.word_hashes
+        monkeypatch.setattr(decontaminate, "word_hashes", lambda d, s, e: np.where(e - s == 7, np.uint64(77), real(d, s, e)))
+        one, other = "aaaaaaa", "bbbbbbb"
+    items = pytest.importorskip("pyarrow").table({"item_id": ["i"], "text": [one]})
+    suffixes = decontaminate.Suffixes(items, 13)
+    data = np.frombuffer(f"{other} x {one}".encode(), np.uint8)
+    words = decontaminate.Words(data, np.array([0, len(data)]))
+    assert suffixes.occurrences(words)[0].tolist() == [2]
+
+
 def test_decontaminate_of_nothing(spark, as_table, tricky):
     none = spark.createDataFrame([], "item_id string, text string")
     assert all(h == 0 for _, _, h, _ in hits(as_table(tricky), none))
@@ -101,6 +139,74 @@ def test_window_entropy_by_increments():
     assert found == busy
 
 
+def entropy_by_hand(text):
+    """Entropy spans by trying every window of every class in every candidate, and the allow-list as it is described."""
+    import math
+    import re
+    from collections import Counter
+
+    known = [tuple(map(int, x.split(":")[1:])) for x in brute.known_secrets(text)]
+    out = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if secret_scan.is_plain(m[0]):
+            continue
+        for chars, window, least, holds in secret_scan.CLASSES:
+            for run in chars.finditer(text, m.start(), m.end()):
+                if not holds.search(run[0]):
+                    continue
+                busy = set()
+                for i in range(run.start(), run.end() - window + 1):
+                    n = Counter(text[i : i + window]).values()
+                    if -sum(c / window * math.log2(c / window) for c in n) >= least - 1e-9:
+                        busy.update(range(i, i + window))
+                ends = [k for k in sorted(busy) if k - 1 not in busy]
+                for a in ends:
+                    b = next(k for k in range(a, len(text) + 1) if k not in busy)
+                    if not any(x <= a and b <= y for x, y in known) and not secret_scan.is_plain(text[a:b]) and not re.search(r"(?i)(md5|sha-?(1|256|384|512))[:=-]$", text[:a]):
+                        out.add((a, b))
+    return sorted(s for s in out if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in out))
+
+
+def test_entropy_spans_are_those_of_every_window(real):
+    import random
+    import string
+
+    r = random.Random(3)
+    alphabets = (string.ascii_lowercase + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", "0123456789abcdef")
+    made = []
+    for k in range(120):
+        key = "".join(r.choice(alphabets[k % 4]) for _ in range(r.choice((20, 24, 40, 60))))
+        made.append(r.choice(("key ", "sha256:", "token=", "a-b_", "")) + key + r.choice((" end", "-tail-of-words", "==")))
+    texts = [*(t or "" for _, t in real), *made, "aaaaabbbbbcccccddddd0000011111222223333344444", "someCamelCaseIdentifierWithWords42 getHTTPResponse"]
+    found = 0
+    for t in texts:
+        spans = [(a, b) for a, kind, b in secret_scan.scan(t) if kind == "entropy"]
+        assert spans == entropy_by_hand(t)
+        found += len(spans)
+    assert found > 60
+
+
+@pytest.mark.parametrize(("alphabet", "length", "least"), [("abcdefghijklmnopqrstuvwxyz0123456789", 20, 0.97), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20, 0.97), ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.99),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 0.97)])
+def test_random_keys_are_found(alphabet, length, least):
+    import random
+
+    r = random.Random(11)
+    keys = ["".join(r.choice(alphabet) for _ in range(length)) for _ in range(2000)]
+    assert sum(any(k == "entropy" for _, k, _ in secret_scan.scan(f"the key {x} here")) for x in keys) >= least * len(keys)
+
+
+def test_secret_scan_takes_linear_time():
+    import time
+
+    for text in ("abc-" * 10_000 + "9fK2xQ7bLmZ0vT4cR8sWyE1u", "ab" * 20_000 + "Z", "Abc" * 15_000 + "-", "token" * 10_000, "a1-" * 10_000 + "="):
+        began = time.perf_counter()
+        secret_scan.is_plain(text)
+        assert time.perf_counter() - began < 0.1
+        secret_scan.scan(text)
+        assert time.perf_counter() - began < 3
+
+
 def test_quality_rules(as_table, tricky):
     docs = as_table(tricky).drop("__t")
     rules = quality_rules.default_rules()
