@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NON_ALNUM, discard, materialise, run_hashes, slices, small_batches, word_hashes, word_spans
+from .shared import LOWER, NON_ALNUM, discard, keyed, materialise, run_hashes, slices, small_batches, word_hashes, word_spans
 
 WIDTH = 13
 #: Words of benchmark items that are broadcast at once.
@@ -276,8 +276,7 @@ def is_contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs (doc_id, text and any others) that are not contaminated."""
-    own = f"row_{uuid.uuid4().hex}"
-    held = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    found = hit_spans(held.select(F.col(own).alias("doc_id"), "text"), items, width, block_words)
+    held, own = keyed(docs)
+    found = hit_spans(held.select(F.col(f"`{own}`").alias("doc_id"), "text"), items, width, block_words)
     bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(own))
     return held.join(bad, own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,7 +31,6 @@ are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACES, Scratch, digests, materialise, mix, numbered, run_hashes, signed, slices, small_batches, word_hashes, word_spans
+from .shared import LOWER, SPACES, Scratch, digests, keyed, mix, numbered, run_hashes, signed, slices, small_batches, word_hashes, word_spans
 
 M, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 BANDS = M // ROWS
@@ -368,8 +367,7 @@ def find_components(docs: DataFrame, width: int = 5, threshold_percent: int = 80
 def deduplicate(docs: DataFrame, width: int = 5, threshold_percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with their own columns, that are the first of their component: the least doc_id, of equal ones any one row;
     and the rows without a set."""
-    own = f"row_{uuid.uuid4().hex}"
-    held = materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
-    placed = place_rows(held.select(F.col(own).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, threshold_percent)
+    held, own = keyed(docs, doc_id)
+    placed = place_rows(held.select(F.col(f"`{own}`").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, threshold_percent)
     gone = placed.where(~F.col("first")).select(F.col("row").alias(own))
     return held.join(gone, own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -63,28 +63,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    cascade = quality_rules.plan_cascade(docs, quality_rules.default_rules())
-    rest = [m for m in cascade if m.rule.name not in ("few_words", "repeated_words")]
-    t, w = F.col("__t"), F.col("__w")
-    counted = quality_rules.with_statistics(docs).select(
-        "doc_id",
-        "__t",
-        "__w",
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        quality_rules.n_symbols(t).alias("n_symbols"),
-        quality_rules.n_dup_lines(t).alias("n_dup_lines"),
-        quality_rules.n_repeat_words(w).alias("n_repeat_words"),
-    )
-    # The base columns are asked for in every row, so the cascade takes the two base rules from them.
-    few, repeated = F.col("n_words") < 10, 100 * F.col("n_repeat_words") > 20 * F.col("n_words")
-    known = {"few_words": few, "repeated_words": repeated}
-    ordered = [quality_rules.Measured(quality_rules.Rule(m.rule.name, known[m.rule.name]), m.seconds, m.rejected) for m in cascade if m not in rest]
-    return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (few | repeated).alias("base_failed"),
-        quality_rules.verdict([*ordered, *rest]).isNull().alias("kept"),
-    )
+    asked = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")  # of every row, so they cost the rules nothing
+    cascade = quality_rules.plan_cascade(docs, quality_rules.default_rules(), known=asked)
+    split = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    split = split.select("doc_id", "t", quality_rules.words(F.col("t")).alias("w"))
+    own = quality_rules.Statistics(F.col("t"), F.col("w"))
+    counted = split.select("doc_id", "t", "w", *(own[name].alias(name) for name in asked))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    known = quality_rules.Statistics(F.col("t"), F.col("w"), {name: F.col(name) for name in asked})
+    return counted.select("doc_id", *asked, failed.alias("base_failed"), quality_rules.verdict(cascade, known).isNull().alias("kept"))
 
 
 OP4_SQL = r"""
@@ -111,7 +98,7 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines OR 2 * n_upper > n_letters + 10 OR 2 * n_letters < word_chars) AS kept
 FROM b
-""".replace("\\", "\\"[:1])
+"""
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Rows that Spark hands to Python at once, and bytes of text that numpy works on at once.
 ROWS_PER_BATCH = 512
@@ -89,9 +90,21 @@ class Scratch:
         self.tables = [t for t in self.tables if any(t is b for b in but)]
 
 
+def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs and the name of a column of it that tells rows apart: doc_id if it is a bigint, never null and never repeated;
+    otherwise a number of each row's own, fixed in a table."""
+    ids = docs.select(F.col(f"`{doc_id}`").alias("id"))
+    if isinstance(ids.schema["id"].dataType, LongType):
+        if ids.groupBy("id").agg(F.count("*").alias("n")).where(F.col("id").isNull() | (F.col("n") > 1)).isEmpty():
+            return docs, doc_id
+    own = f"row_{uuid.uuid4().hex}"
+    return materialise(docs.withColumn(own, F.monotonically_increasing_id()), "rows"), own
+
+
 def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id, text: each row under a number of its own, fixed in a table, since a doc_id may be null or repeat."""
-    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "rows")
+    """row, doc_id, text, where row tells rows apart (see keyed)."""
+    held, row = keyed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    return held.select(F.col(row).alias("row"), "doc_id", "text")
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = BYTES_PER_SLICE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

@@ -12,7 +12,7 @@ windows have equal anchors, so all that can match meets under one anchor, with a
 * A batch is sorted the same way and merged with the runs in one pass: a stretch that is there with a
   smaller doc_id is a repetition as a whole; where one anchor has different stretches, they are open.
 * Open stretches are verified on the texts: the digests of their windows' words are compared one by one.
-* The batch's own rows then become a new run, and runs are compacted into one, with the least doc_id of each stretch,
+* The batch's table then is a new run, and runs are compacted into one, with the least doc_id of each stretch,
   when there are more than ``fanout``.
 
 ``FingerprintIndex.open`` finds the index of an earlier job under its path: a small table names the runs and the texts that
@@ -195,12 +195,14 @@ class FingerprintIndex:
         state = [(self.version, kind, place(df), self.width, self.lead, self.fanout) for kind, tables in (("run", self.runs), ("texts", self.texts)) for df in tables if df.inputFiles()]
         spark.createDataFrame(state, "version int, kind string, table string, width int, lead int, fanout int").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
 
-    def match(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(row, at, n, fresh, open) of the batch's matches with itself and history, and the batch's own stretches."""
-        fresh = materialise(fingerprints(batch, self.width, self.lead), "window-rows")
+    def match(self, batch: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(row, at, n, fresh, open) of the batch's matches with itself and history, and the batch's own stretches, sorted as a
+        run unless no batch follows."""
+        fresh = fingerprints(batch, self.width, self.lead)
+        fresh = materialise(fresh if last else self.ordered(fresh), "window-rows")
         rows = fresh.where(~F.col("known")).drop("known").withColumn("fresh", F.lit(True))
         for run in self.runs:
-            rows = rows.unionByName(run.withColumn("fresh", F.lit(False)))
+            rows = rows.unionByName(run.where(~F.col("known")).drop("known").withColumn("fresh", F.lit(False)))
         often = frequent_anchors(rows).withColumn("hot", F.lit(True))
         rows = rows.join(F.broadcast(often), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # at most SAMPLE / FREQUENT rows
         dealt = rows.withColumn("part", F.when(F.col("hot"), F.col("b1")).otherwise(0)).repartition("anchor", "part").drop("part")
@@ -208,24 +210,26 @@ class FingerprintIndex:
         here = fresh.where("known").select("row", "at", "n", F.lit(True).alias("fresh"), F.lit(False).alias("open"))
         return merged.unionByName(here), fresh
 
+    @staticmethod
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.repartition("anchor", "b1", "b2").sortWithinPartitions(*ORDER)
+
     def append(self, fresh: DataFrame) -> None:
         """Adds the batch's stretches as a run, and compacts."""
-        sorted_ = lambda rows: rows.repartition("anchor", "b1", "b2").sortWithinPartitions(*ORDER)
-        rows = fresh.where(~F.col("known")).select("anchor", "b1", "b2", "doc_id", "row", "at", "n")
-        self.runs.append(materialise(sorted_(rows), "window-run"))
+        self.runs.append(fresh)
         if len(self.runs) > self.fanout:
             whole = self.runs[0]
             for run in self.runs[1:]:
                 whole = whole.unionByName(run)
-            least = whole.groupBy("anchor", "b1", "b2").agg(F.min(F.struct("doc_id", "row", "at", "n")).alias("x")).select("anchor", "b1", "b2", "x.*")
-            compacted = materialise(sorted_(least), "window-run")
+            first = F.min(F.struct("doc_id", "row", "at", "n", "known")).alias("x")
+            compacted = materialise(self.ordered(whole.where(~F.col("known")).groupBy("anchor", "b1", "b2").agg(first).select("anchor", "b1", "b2", "x.*")), "window-run")
             discard(*self.runs)
             self.runs = [compacted]
 
-    def removed(self, batch: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def removed(self, batch: DataFrame, texts: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
         """row, at, n of the batch's windows that a smaller doc_id has, and the batch's stretches for append().  texts: row, doc_id
         and text of history and batch."""
-        matches, fresh = self.match(batch)
+        matches, fresh = self.match(batch, last)
         matches = materialise(matches, "window-matches")
         found = matches.where(F.col("fresh") & ~F.col("open")).select("row", "at", "n")
         # Windows of history may come up again here; they were decided with their own batch, the same way.
@@ -247,7 +251,6 @@ class FingerprintIndex:
             texts = texts.unionByName(t)
         gone, fresh = self.removed(rows, texts)
         self.append(fresh)
-        discard(fresh)
         self.save(spark)
         return without(gone.distinct(), rows, self.width)
 
@@ -340,10 +343,10 @@ def deduplicate(docs: DataFrame, batches: int = 1, width: int = WIDTH, lead: int
             batch = batch.where(F.col("doc_id") > edges[k - 1])
         if k < len(edges):
             batch = batch.where(F.col("doc_id") <= edges[k])
-        gone, fresh = index.removed(batch, rows)
+        gone, fresh = index.removed(batch, rows, last=k == len(edges))
         removed = gone if removed is None else removed.unionByName(gone)
         if k < len(edges):
             index.append(fresh)
-        discard(fresh)
-    discard(*index.runs)
+        else:
+            discard(fresh, *index.runs)
     return without(removed.distinct(), rows, width)

@@ -115,3 +115,27 @@ def known_secrets(text):
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
+
+
+def quality_kept(text):
+    """Whether the default quality rules keep a text."""
+    import unicodedata
+
+    text = text or ""
+    words = WORD.findall(text)
+    chars = sum(map(len, words))
+    seen = defaultdict(list)
+    for k in range(len(words) - 4):
+        seen[tuple(words[k : k + 5])].append(k)
+    repeated = {k + j for places in seen.values() if len(places) > 1 for k in places for j in range(5)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    kinds = [unicodedata.category(c) for c in text]
+    letters, upper = sum(k[0] == "L" for k in kinds), kinds.count("Lu")
+    return not (
+        len(words) < 10
+        or 100 * len(repeated) > 20 * len(words)
+        or 10 * sum(c in "#*$%&|<>" for c in text) > chars
+        or 2 * (len(lines) - len(set(lines))) > text.count("\n") + 1
+        or 2 * upper > letters + 10
+        or 2 * letters < chars
+    )

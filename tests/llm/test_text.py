@@ -208,23 +208,28 @@ def test_secret_scan_takes_linear_time():
 
 
 def test_quality_rules(as_table, tricky):
-    docs = as_table(tricky).drop("__t")
-    rules = quality_rules.default_rules()
+    docs = as_table(tricky)  # with columns of its own called __t, n and the like
     kept = quality_rules.filter_documents(docs, sample_rows=20)
     assert kept.columns == docs.columns
-    ids = {r["doc_id"] for r in kept.collect()}
-    stats = quality_rules.with_statistics(docs)
-    any_rule = rules[0].rejects
-    for rule in rules[1:]:
-        any_rule = any_rule | rule.rejects
-    assert ids == {r["doc_id"] for r in stats.where(~any_rule).select("doc_id").collect()}
-    assert ids and {1, 2, 3} & ids == set()
+    rows = {r["doc_id"]: r for r in kept.collect()}
+    assert set(rows) == {i for i, t in tricky if brute.quality_kept(t)}
+    assert all(r["__t"] == "t" and r["n"] == 1 for r in rows.values()) and {1, 2, 3} & set(rows) == set()
+    rules = quality_rules.default_rules()
     cascade = quality_rules.plan_cascade(docs, rules)
     assert sorted(m.rule.name for m in cascade) == sorted(r.name for r in rules)
     assert [m.worth for m in cascade] == sorted((m.worth for m in cascade), reverse=True)
     assert quality_rules.filter_documents(docs.limit(0)).count() == 0
 
 
+def test_quality_verdict_does_not_hang_on_the_order(as_table, tricky):
+    docs = as_table(tricky)
+    given = [quality_rules.Measured(r, 1.0, 0.1) for r in quality_rules.default_rules()]
+    kept = [{r["doc_id"] for r in quality_rules.apply_cascade(docs, order).where("rejected_by is null").collect()} for order in (given, given[::-1], [])]
+    assert kept[0] == kept[1] == {i for i, t in tricky if brute.quality_kept(t)} and kept[2] == {i for i, _ in tricky}
+    free = quality_rules.plan_cascade(docs, quality_rules.default_rules(), known=("n_letters", "n_upper"))
+    assert free[0].rule.name == "upper_case" and free[0].seconds == 0
+
+
 def test_quality_rules_plan_has_no_python(spark):
     plan = queries.op4_quality_rules(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -328,6 +333,8 @@ def test_pipeline_stages(spark):
         docs.write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
         rows = {r["doc_id"]: r for r in docs.collect()}
+        if name == "quality_rules":
+            assert set(rows) == {i for i, t in before.items() if brute.quality_kept(t)}
         if name == "near_dedup":
             assert set(rows) == {i for i, _, c in brute.near_dedup(sorted(before.items()), 5) if i == c}
         if name == "decontaminate":
