@@ -8,14 +8,15 @@ text the bits are counted by language over its n-grams, corrected for the filter
 decides.
 
 N-grams are ``GRAM`` bytes of the text with A-Z in lower case and all other bytes below U+0080 as spaces.  A
-language has an n-gram if its rate there is at least ``min_rate`` and at least ``min_share`` of the highest
-rate in any language.  Rates come from a bounded sample of labelled texts: ``sample_per_language`` rows of
+language has an n-gram if its rate there is at least ``min_rate``, which leaves out what strays into its texts, and, where
+``min_share`` is above 0, at least that share of the highest rate in any language.  Rates come from a bounded sample of labelled texts: ``sample_per_language`` rows of
 each language in expectation, chosen by a hash of the text; counts are summed by Spark, and the driver gets
 the finished filter alone, whose size has a fixed bound (``MOST_POSITIONS`` masks for each 63 languages).
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or nothing was learned; a text with
 letters but no known n-gram is the language with the most learned rows, with score 0; ties go to the language first in
-alphabetical order; every text is judged whole; repeated rows get the same result each.
+alphabetical order; every text is judged whole; repeated rows get the same result each.  Names of languages may hold any
+characters.
 """
 
 from __future__ import annotations
@@ -85,25 +86,26 @@ def learn(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, m
             share = F.when(F.col("lang") == name, sample_per_language / n).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
 
+    place = {name: i for i, name in enumerate(languages)}
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
                 code, first = grams(data, offsets)
-                names = np.array(part.column("lang").to_pylist(), object)
-                owner = np.repeat(np.arange(len(names)), np.diff(first))
-                for name in set(names):
-                    values, n = np.unique(code[(names == name)[owner]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(values), pa.string()), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"]
-                    )
-
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("gram").pivot("lang", languages).agg(F.sum("n"))
+                own = np.array([place[name] for name in part.column("lang").to_pylist()], np.int32)
+                owner = np.repeat(np.arange(len(own)), np.diff(first))
+                for i in np.unique(own):
+                    values, n = np.unique(code[(own == i)[owner]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i, np.int32)), pa.array(values.astype(np.int64)), pa.array(n.astype(np.int64))], ["place", "gram", "n"])
+
+    places = list(range(len(languages)))  # languages by place: their names may be anything
+    counts = sample.mapInArrow(count, "place int, gram long, n long").groupBy("gram").pivot("place", places).agg(F.sum("n"))
     counts = counts.fillna(0).cache()
-    columns = [F.col(f"`{name}`") for name in languages]
-    totals = counts.agg(*(F.sum(c).alias(str(i)) for i, c in enumerate(columns))).first()
+    columns = [F.col(str(i)) for i in places]
+    totals = counts.agg(*(F.sum(c).alias(f"t{i}") for i, c in enumerate(columns))).first()
     rates = [c / float(max(totals[i] or 0, 1)) for i, c in enumerate(columns)]
     highest = F.greatest(*rates) if len(rates) > 1 else rates[0]
-    has = [(r >= min_rate) & (r >= min_share * highest) for r in rates]
+    has = [(r > 0) & (r >= min_rate) & (r >= min_share * highest) for r in rates]
     groups = -(-len(languages) // BITS)
     masks = []
     for g in range(groups):
@@ -118,13 +120,13 @@ def learn(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, m
     while size < min(MOST_POSITIONS, 10 * n_grams):
         size *= 2
 
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = positions(np.asarray(batch.column("gram")).astype(np.uint32), size)
             for p in at:
                 yield pa.RecordBatch.from_arrays([pa.array(p), *(batch.column(f"m{g}") for g in range(groups))], ["at", *(f"m{g}" for g in range(groups))])
 
-    placed = known.mapInArrow(place, "at long, " + ", ".join(f"m{g} long" for g in range(groups)))
+    placed = known.mapInArrow(put, "at long, " + ", ".join(f"m{g} long" for g in range(groups)))
     table = placed.groupBy("at").agg(*(F.bit_or(f"m{g}").alias(f"m{g}") for g in range(groups))).toArrow()
     counts.unpersist()
     filled = np.zeros((groups, size), np.uint64)

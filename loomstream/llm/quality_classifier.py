@@ -168,27 +168,32 @@ def moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[int, tuple[float, n
     return out
 
 
-def minimise(prior: float, u: np.ndarray, p: np.ndarray, ridge: float = RIDGE, steps: int = 300, rate: float = 0.2) -> np.ndarray:
-    """w of least non-negative risk, from E_U[x x'] and E_P[x x'] (x starts with a constant 1)."""
-    d = len(u)
-    penalty = ridge * np.eye(d)
-    penalty[0, 0] = 0
+def minimise(prior: float, u: np.ndarray, p: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
+    """w of least non-negative risk, from E_U[x x'] and E_P[x x'] (x starts with a constant 1).
+
+    The risk is the larger of A and A + N, where A is the positives' part and N the estimate for negatives; both are convex, so
+    its minimum is that of A + t * N for the t in 0 ... 1 that is worst.  N falls as t grows, at the w that is best for t: if N
+    is not negative for t = 1, nothing is clipped; if it is not positive for t = 0, all is; otherwise t is where N is 0.
+    """
+    penalty = ridge * np.eye(len(u))
+    penalty[0, 0] = 1e-9
     mean_u, mean_p = u[0], p[0]
-    scale = np.linalg.pinv(u + penalty + 1e-9 * np.eye(d))
-    w = scale @ (2 * prior * mean_p - mean_u)  # the minimum of the unbiased risk
-    negative = lambda w: (1 + 2 * w @ mean_u + w @ u @ w - prior * (1 + 2 * w @ mean_p + w @ p @ w)) / 4
-    risk = lambda w: prior * (1 - 2 * w @ mean_p + w @ p @ w) / 4 + max(0.0, negative(w)) + w @ penalty @ w / 4
-    best, least = w, risk(w)
-    for _ in range(steps):  # where the estimate for negatives is below zero, step back from what made it so
-        slope = (mean_u + u @ w - prior * (mean_p + p @ w)) / 2
-        if negative(w) >= 0:
-            slope = slope + prior * (p @ w - mean_p) / 2 + penalty @ w / 2
-        else:
-            slope = -slope
-        w = w - rate * scale @ slope
-        if (now := risk(w)) < least and negative(w) >= 0:
-            best, least = w, now
-    return best
+
+    def best(t: float) -> np.ndarray:
+        return np.linalg.lstsq((1 - t) * prior * p + t * u + penalty, (1 + t) * prior * mean_p - t * mean_u, rcond=None)[0]
+
+    def negatives(w: np.ndarray) -> float:
+        return float(1 + 2 * w @ mean_u + w @ u @ w - prior * (1 + 2 * w @ mean_p + w @ p @ w)) / 4
+
+    if negatives(best(1.0)) >= 0:
+        return best(1.0)
+    if negatives(best(0.0)) <= 0:
+        return best(0.0)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if negatives(best(middle)) > 0 else (low, middle)
+    return best(low)
 
 
 @dataclass(frozen=True)

@@ -291,6 +291,34 @@ def test_language_of_odd_rows(spark, as_table, tricky):
     assert {r["lang_pred"] for r in language_id.predict(as_table(tricky), none).collect()} == {"und"}
 
 
+def test_language_masks_hold_every_language_of_a_gram(spark, as_table):
+    """Against plain sets; languages may be called anything."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    letters = {"gram": "abcdefgh", "at`x": "efghijkl", "n.o": "mnopqrst", "0": "acegmoqs"}
+    texts = [(" ".join("".join(r.choice(alphabet) for _ in range(5)) for _ in range(60)), name) for name, alphabet in letters.items() for _ in range(25)]
+    model = language_id.learn(spark.createDataFrame(texts, "text string, lang string"), min_rate=0.0, min_share=0.0)
+    assert model["languages"] == sorted(letters)
+    own = {}
+    for text, name in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        own.setdefault(name, set()).update(language_id.grams(data, np.array([0, len(data)]))[0].tolist())
+    every = np.array(sorted(set().union(*own.values())), np.uint32)
+    at = language_id.positions(every, model["masks"].shape[1])
+    masks = model["masks"][0][at[0]] & model["masks"][0][at[1]] & model["masks"][0][at[2]]
+    false = 0
+    for i, name in enumerate(model["languages"]):
+        named = {int(g) for g, m in zip(every, masks) if int(m) >> i & 1}
+        assert own[name] <= named
+        false += len(named - own[name])
+    assert false <= 0.05 * len(every) * len(letters)
+    told = language_id.predict(as_table([(k, t) for k, (t, _) in enumerate(texts)]), model)
+    assert all(row["lang_pred"] == texts[row["doc_id"]][1] for row in told.collect())
+
+
 def test_quality_is_told_on_held_out_rows(spark):
     """Better than calling everything good, which most labelled rows are."""
     sf = "/root/testdata/sf0.01"
@@ -311,6 +339,43 @@ def test_quality_of_odd_rows(spark, as_table, tricky):
     assert quality_classifier.classify(as_table([]), labels)[0].count() == 0
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.9])
+def test_risk_cannot_be_lowered(prior):
+    """Also where the prior is overestimated and the clipping counts."""
+    import numpy as np
+
+    clipped = 0
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        d = 6
+        good = np.column_stack([np.ones(60), r.normal(0.5, 1, (60, d))])
+        other = np.column_stack([np.ones(200), np.where(r.random((200, 1)) < 0.4, r.normal(0.5, 1, (200, d)), r.normal(-0.5, 1, (200, d)))])
+        u, p = other.T @ other / 200, good.T @ good / 60
+        risk_of = lambda w: prior * np.mean((1 - good @ w) ** 2) / 4 + max(0.0, np.mean((1 + other @ w) ** 2) / 4 - prior * np.mean((1 + good @ w) ** 2) / 4)
+        ridge = 1e-3
+        whole = lambda w: risk_of(w) + ridge * (w[1:] @ w[1:]) / 4
+        w = quality_classifier.minimise(prior, u, p, ridge)
+        least = whole(w)
+        clipped += np.mean((1 + other @ w) ** 2) - prior * np.mean((1 + good @ w) ** 2) < 1e-6
+        for size in (1.0, 0.1, 0.01, 0.001):
+            assert all(whole(w + size * r.normal(size=d + 1)) >= least - 1e-9 for _ in range(400))
+    assert clipped if prior == 0.9 else True
+
+
+def test_moments_are_sums_over_rows(spark, as_table, tricky):
+    import numpy as np
+
+    labels = spark.createDataFrame([(i, 1) for i, _ in tricky[::3]], "doc_id long, quality int")
+    rows = quality_classifier.features(as_table(tricky).select("doc_id", "text")).join(labels, "doc_id", "left").withColumn("__p", F.coalesce(F.col("quality") == 1, F.lit(False)))
+    cuts = quality_classifier.quantile_cuts(rows)
+    got = quality_classifier.moments(rows, cuts)
+    own = rows.collect()
+    x = quality_classifier.binned(np.array([r["__x"] for r in own], float), cuts)
+    trusted = np.array([r["__p"] for r in own])
+    for g, part in enumerate((x, x[trusted])):
+        assert got[g][0] == len(part) and np.allclose(got[g][1], part.T @ part)
+
+
 def test_risk_is_least_where_it_says():
     import numpy as np
 
