@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import contextlib
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -205,15 +206,24 @@ _tokenizers: dict[tuple[str, str], Tokenizer] = {}
 
 
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    """One for each worker and vocabulary.  Its tables live as long as the worker and hold no cycles, so the garbage
-    collector need not walk them."""
+    """One for each worker and vocabulary."""
     if (path, pattern) not in _tokenizers:
         _tokenizers[path, pattern] = Tokenizer(path, pattern)
-        gc.freeze()
-        gc.set_threshold(50_000, 20, 100)
     return _tokenizers[path, pattern]
 
 
+@contextlib.contextmanager
+def without_collection() -> Iterator[None]:
+    """While texts of one batch are encoded nothing makes cycles, and the tokenizer's tables are large: the garbage collector rests."""
+    ran = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if ran:
+            gc.enable()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) for each row.  path must name the vocabulary on every executor."""
     small_batches(docs.sparkSession)
@@ -224,7 +234,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                ids = pa.array([own.encode(t or "") for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
+                with without_collection():
+                    ids = pa.array([own.encode(t or "") for t in part.column("text").to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], ["doc_id", "ids"])
 
     return rows.mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -258,16 +269,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
         decimals = [str(i) for i in range(len(own.table))]
         for batch in batches:
             out: list[tuple[int, str, str, bool]] = []
-            for t in batch.column("text"):
-                plain = t.as_py() or ""
-                ids = own.encode(plain)
-                decoded, at, same = hashlib.sha256(), 0, True
-                for chunk in own.decode_stream(own.chunks(ids)):
-                    decoded.update(chunk.encode())
-                    same = same and plain.startswith(chunk, at)
-                    at += len(chunk)
-                joined = hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode())
-                out.append((len(ids), joined.hexdigest(), decoded.hexdigest(), same and at == len(plain)))
+            with without_collection():
+                for t in batch.column("text"):
+                    plain = t.as_py() or ""
+                    ids = own.encode(plain)
+                    decoded, at, same = hashlib.sha256(), 0, True
+                    for chunk in own.decode_stream(own.chunks(ids)):
+                        decoded.update(chunk.encode())
+                        same = same and plain.startswith(chunk, at)
+                        at += len(chunk)
+                    joined = hashlib.sha256(",".join(map(decimals.__getitem__, ids)).encode())
+                    out.append((len(ids), joined.hexdigest(), decoded.hexdigest(), same and at == len(plain)))
             columns = list(zip(*out)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)

@@ -60,6 +60,23 @@ def turn_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", seq.alias("seq"), seq.alias("message"), F.lit("message").alias("op"), "role", "text")
 
 
+def service_events(turns: DataFrame) -> DataFrame:
+    """The same turns as a chat service logs them: an assistant's is begun, drafted, regenerated and streamed in two deltas; another's is
+    sent with its end missing, edited to its first half, and completed.  Folding gives the turns of turn_events()."""
+    whole = turn_events(turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    front, back = F.substring(F.col("text"), F.lit(1), half), F.substring(F.col("text"), half + 1, F.length("text"))
+
+    def step(k: int, op: str, text: Column) -> Column:
+        return F.struct((F.col("seq") * 8 + k).alias("seq"), F.lit(op).alias("op"), text.alias("text"))
+
+    answer = F.array(step(0, "message", F.lit("")), step(1, "delta", F.lit("a draft")), step(2, "regenerate", F.lit(None).cast("string")), step(3, "delta", front), step(4, "delta", back))
+    sent = F.array(step(0, "message", F.concat(front, F.lit("..."))), step(1, "edit", front), step(2, "delta", back))
+    steps = F.explode(F.when(F.col("role") == "assistant", answer).otherwise(sent)).alias("step")
+    role = F.when(F.col("step.op") == "message", F.col("role")).alias("role")
+    return whole.select("conv_id", "message", "role", steps).select("conv_id", "step.seq", "message", "step.op", role, "step.text")
+
+
 def reconstruct(log: DataFrame) -> DataFrame:
     """conv_id, message, role, text of the messages that remain, from conv_id, seq, message, op, role, text."""
     events = log.select(

@@ -8,8 +8,8 @@ text the bits are counted by language over its n-grams, corrected for the filter
 decides.
 
 N-grams are ``GRAM`` bytes of the text with A-Z in lower case and all other bytes below U+0080 as spaces.  A
-language has an n-gram if its rate there is at least ``min_rate``, which leaves out what strays into its texts, and, where
-``min_share`` is above 0, at least that share of the highest rate in any language.  Rates come from a bounded sample of labelled texts: ``sample_per_language`` rows of
+language has an n-gram if its rate there is at least ``min_rate``, which leaves out what strays into its texts, and, if
+``min_share`` is given, at least that share of the highest rate in any language.  Rates come from a bounded sample of labelled texts: ``sample_per_language`` rows of
 each language in expectation, chosen by a hash of the text; counts are summed by Spark, and the driver gets
 the finished filter alone, whose size has a fixed bound (``MOST_POSITIONS`` masks for each 63 languages).
 
@@ -71,7 +71,7 @@ def positions(code: np.ndarray, size: int) -> list[np.ndarray]:
         return [(mix(code.astype(np.uint64) + np.uint64(j << 40)) & np.uint64(size - 1)).astype(np.int64) for j in range(HASHES)]
 
 
-def learn(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, min_rate: float = 2e-5, min_share: float = 0.25) -> dict:
+def learn(labelled: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, min_rate: float = 2e-5, min_share: float = 0.0) -> dict:
     """The filter, from (text, lang) rows: languages by number of rows, masks, and each language's fill."""
     spark = labelled.sparkSession
     small_batches(spark)

@@ -11,8 +11,9 @@ for the features and one over the features for the moments, partial sums being a
 the driver gets two matrices of fixed size and minimises the risk on them exactly as over all rows.  There is
 no sample.  Under the square loss (1 + z) / 2 estimates the probability of a positive; it is the score.
 
-Features are counts of a text's bytes, words and lines; each is cut into bins at its quantiles over the
-table, so the linear score adds a free function of each feature.
+Features are counts of a text's bytes, words and lines, each cut into bins at its quantiles over the
+table, so that the linear score adds a free function of each feature; and the shares of its words (A-Z in lower case) that fall
+into each of BUCKETS hash buckets, which enter as they are.
 
 The prior: the positives' share among labelled rows where both labels are known; otherwise the largest value
 that the scores allow, the least ratio of U's to P's mass above any score.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, byte_class, materialise, run_hashes, slices, small_batches, word_hashes, word_spans
+from .shared import LOWER, SPACES, byte_class, materialise, run_hashes, slices, small_batches, word_hashes, word_spans
 
 FEATURES = (
     "n_words", "word_length", "longest_word", "upper", "marks", "exclaims", "digits", "points", "beyond_ascii",
@@ -42,6 +43,7 @@ CUTS = (0.01, 0.03, 0.06, 0.12, 0.25, 0.5, 0.75, 0.88, 0.94, 0.97, 0.99)
 #: Ridge on the weights: a fixed part, and one observation's worth, which the trusted positives outweigh.
 RIDGE = 1e-4
 NEWLINE = byte_class((10, 10))
+BUCKETS = 32
 
 
 def per_row(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def doubled(hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each row of text."""
+    """A row of FEATURES, and then of shares by bucket, for each row of text."""
     rows = len(offsets) - 1
     starts, ends, first = word_spans(data, offsets, SPACES)
     words = word_hashes(data, starts, ends)
@@ -95,16 +97,18 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         seen = np.bincount(data[offsets[i] : offsets[i + 1]], minlength=1)
         p = seen[seen > 0] / size[i]
         entropy[i] = -(p * np.log2(p)).sum()
+    bucket = (word_hashes(LOWER[data], starts, ends) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    shares = np.bincount(owner * BUCKETS + bucket, minlength=rows * BUCKETS).reshape(rows, BUCKETS) / w[:, None]
     return np.column_stack([
         np.log1p(n), per_row(lengths, first) / w, longest, upper / np.maximum(1.0, upper + lower),
         count((35, 38), (42, 42), (60, 60), (62, 62), (124, 124)) / size, count((33, 33), (63, 63)) / size, count((48, 57)) / size,
         count((44, 44), (46, 46), (58, 59)) / w, count((128, 255)) / size, 1 - again / w, per_row(same, first) / w, repeated / w,
-        repeated_lines / lines, n / lines, top / w, entropy,
+        repeated_lines / lines, n / lines, top / w, entropy, shares,
     ]).astype(np.float64)
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without text, with the array column ``__x`` of FEATURES."""
+    """docs without text, with the array column ``__x`` of features."""
     small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     kept = docs.select(*(F.col(f"`{c}`") for c in others), F.col(text).alias("__text"))
@@ -119,12 +123,12 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def binned(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Ones for the constant and for each cut that a feature exceeds."""
-    return np.column_stack([np.ones(len(x)), *((x[:, [i]] > c).astype(float) for i, c in enumerate(cuts) if len(c))])
+    """Ones for the constant and for each cut that a feature exceeds, and how far each bucket's share is from the mean of all."""
+    return np.column_stack([np.ones(len(x)), *((x[:, [i]] > c).astype(float) for i, c in enumerate(cuts) if len(c)), np.clip(BUCKETS * x[:, len(FEATURES) :] - 1, -1, 3)])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float64).reshape(len(column), len(FEATURES))
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), len(FEATURES) + BUCKETS)
 
 
 def quantile_cuts(rows: DataFrame) -> list[np.ndarray]:
@@ -136,7 +140,7 @@ def quantile_cuts(rows: DataFrame) -> list[np.ndarray]:
 
 def moments(rows: DataFrame, cuts: list[np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
     """For group 0 (all rows) and 1 (trusted positives): the number of rows and the sum of x x'."""
-    size = 1 + sum(map(len, cuts))
+    size = 1 + sum(map(len, cuts)) + BUCKETS
     shared = rows.sparkSession.sparkContext.broadcast(cuts)
 
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     own = spark.range(0, 2, 1, 1).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(control).alias("text"))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    back = chat_format.read_back(chat_format.format_log(chat_format.turn_events(turns)))
+    back = chat_format.read_back(chat_format.format_log(chat_format.service_events(turns)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     masked = F.array_join("loss_texts", "")
     return back.select(
