@@ -21,7 +21,7 @@ compares the two blocks in memory, classes of different components only, and ret
 components.  So no link between components is lost, no task gets an unbounded group, and a family of near copies costs a few rows
 a copy.
 
-Components spread by joins (least neighbour, then label of the label) over tables in the shared folder.
+Components contract by joins (least neighbour, then its own, then links between those) over tables in the shared folder.
 
 Defined results: null and empty texts have no set and are linked with nothing; rows are told apart by a number of their own,
 so doc_ids may be null, repeat or be of any type that sorts; a component_id is the least doc_id that is not null, and null if
@@ -214,24 +214,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, threshold_percent: i
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the least node reachable) for each node of links (a, b).
 
-    Each round takes the least label among a node and its neighbours, then the label's own label.  The tables of a
-    round are read in as many tasks as their rows need, not in one for each shuffle partition.
+    Each round every node takes the least of itself and its neighbours, then what that one takes; links are then drawn between what
+    their ends took, and those that join nothing any more go.  What is left of a family is small after one round.
     """
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct()
-    edges = scratch.keep(both, "near-edges")
-    tasks = 2 + edges.count() // EDGES_PER_TASK
-    labels = edges.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = scratch.keep(labels.coalesce(tasks), "near-labels")
-    while True:
-        told = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
-        heard = told.coalesce(tasks).unionByName(labels.select("node", "label", F.col("label").alias("was")))
-        lower = heard.groupBy("node").agg(F.min("label").alias("label"), F.min("was").alias("was")).coalesce(tasks)
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        after = lower.join(roots, "label", "left").select("node", "was", F.least("label", F.coalesce("root", "label")).alias("label"))
-        after = scratch.keep(after.coalesce(tasks), "near-labels")
-        labels = after.select("node", "label")
-        if after.where(F.col("label") != F.col("was")).isEmpty():
-            return labels
+    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "near-edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        tasks = 2 + edges.count() // EDGES_PER_TASK  # as many as the rows need, not one for each shuffle partition
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
+        near = ends.select("x.*").groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("label"))
+        near = scratch.keep(near.coalesce(tasks), "near-took")
+        own = near.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        near = scratch.keep(near.join(own, "label").select("node", F.col("root").alias("label")).coalesce(tasks), "near-took")
+        took = lambda x: near.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+        if labels is None:
+            labels = near
+        else:
+            after = labels.join(near.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+            labels = scratch.keep(after.select("node", F.coalesce("root", "label").alias("label")).coalesce(2 + tasks), "near-labels")
+        drawn = edges.join(took("a"), "a").join(took("b"), "b").where(F.col("la") != F.col("lb"))
+        edges = scratch.keep(drawn.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct().coalesce(tasks), "near-edges")
+    return labels
 
 
 def apart_members(members: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:

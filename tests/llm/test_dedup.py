@@ -93,6 +93,29 @@ def test_near_dedup_in_many_blocks(as_table, tricky, monkeypatch, most):
     assert near_rows(as_table(tricky), width=2) == brute.near_dedup(tricky, 2)
 
 
+def test_components_of_chains_stars_and_rings(spark):
+    import random
+
+    r = random.Random(2)
+    links = [(k, k + 1) for k in range(100, 160)] + [(300, 300 + k) for k in range(1, 40)] + [(500 + k, 500 + (k + 1) % 30) for k in range(30)]
+    links += [tuple(r.sample(range(1000, 1200), 2)) for _ in range(150)] + [(2000, 2000)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = near_dedup.components(spark.createDataFrame(links, "a long, b long"), near_dedup.Scratch()).collect()
+    assert {x["node"]: x["label"] for x in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long"), near_dedup.Scratch()).count() == 0
+
+
 def test_near_dedup_of_repeated_null_and_text_ids(spark):
     text = " ".join(f"w{i * i % 71}" for i in range(60))
     one, other = thue_morse()
