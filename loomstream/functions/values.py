@@ -12,6 +12,7 @@ is a missing property, which is an error; the value NULL is written ``null``.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -108,6 +109,7 @@ class Scope:
 class Expr:
     build: Callable[[Scope], Cell]
     aggregates: tuple = ()  # the aggregators inside
+    prefix: str = ""  # what a text that this makes begins with, as far as that is fixed
 
     def __getattr__(self, name: str) -> Expr:
         if name.startswith("__"):
@@ -428,13 +430,14 @@ def as_text(c: Cell) -> Column:
 
 def text(*parts) -> Expr:
     """Interpolation: the parts' texts, one after another."""
+    prefix = "".join(p for p in itertools.takewhile(lambda p: isinstance(p, str), parts))
     parts = [expr(p) for p in parts]
 
     def build(s: Scope) -> Cell:
         cells = [p.build(s) for p in parts]
         return Cell(F.concat(*(as_text(c) for c in cells)), T.StringType(), first_error(*(c.error for c in cells)), _metas(*cells))
 
-    return Expr(build, _combined(*parts))
+    return Expr(build, _combined(*parts), prefix)
 
 
 def obj(**fields) -> Expr:

@@ -1,8 +1,9 @@
 """Sub-queries as joins.
 
 A sub-query runs for each row of an outer frame.  Where it selects by a tag computed from the row, the join is an
-equality on that tag (the inner events' tags exploded once); other conditions are residual.  Results come back as
-an array in event order, as rows, as one aggregate, or as a test of existence.
+equality on that tag (the inner events' tags exploded once, and of these only the ones that begin as the computed tag does);
+other conditions are residual.  If the tag is all that a sub-query takes from the row, the inner side is grouped by tag first, and
+each row looks its result up.  Results come back as an array in event order, as rows, as one aggregate, or as a test of existence.
 """
 
 from __future__ import annotations
@@ -26,6 +27,36 @@ def _outer(outer: EventFrame) -> DataFrame:
     return outer.df.withColumn("__row", F.struct("__key", "__path"))
 
 
+def _tags_like(tags: Column, e: V.Expr) -> Column:
+    """Those tags that the computed tag can be."""
+    return F.filter(tags, lambda t: t.startswith(e.prefix)) if e.prefix else tags
+
+
+def _by_tag(outer: EventFrame, inner: EventFrame, on_tags: tuple, where, value: V.Expr) -> tuple[DataFrame, Column, V.Cell] | None:
+    """The inner side with ``__it`` for each tag that can be asked for, the outer row's tag, and the cell of value; None if the
+    sub-query takes more from the row than its tag."""
+    if len(on_tags) != 1 or where is not None:
+        return None
+    try:
+        cell = value.build(V.Scope(inner.scope().it, inner.scope().names))
+    except KeyError:  # a binding of the outer query
+        return None
+    tag = V.expr(on_tags[0])
+    rows = inner.df.withColumn("__it", F.explode(_tags_like(F.col("__m")["tags"], tag)))
+    return rows, as_column(outer, tag), cell
+
+
+def _looked_up(outer: EventFrame, found: DataFrame, tag: Column) -> DataFrame:
+    """Outer rows with ``__found`` of their tag, null where there is none."""
+    return outer.df.withColumn("__tag", tag).join(found.withColumnRenamed("__it", "__tag"), "__tag", "left")
+
+
+def _bound(outer: EventFrame, rows: DataFrame, name: str, dtype: T.DataType) -> EventFrame:
+    kept = [c for c in outer._bindings() if c not in (f"__b_{name}", f"__bm_{name}")]
+    df = rows.select("__key", "__path", "__v", "__m", *kept, F.col("__found").alias(f"__b_{name}"), F.col("__m").alias(f"__bm_{name}"))
+    return replace(outer, df=df, names={**outer.names, name: dtype})
+
+
 def _matched(outer: EventFrame, inner: EventFrame, on_tags: list[V.Expr], where: Callable[[V.Scope, V.Scope], V.Expr] | None) -> tuple[DataFrame, V.Scope]:
     """Outer row with each inner event that its tags (all of them) and the condition select; columns of the inner
     event are ``__i_*``, its frame's names are in the scope."""
@@ -47,7 +78,7 @@ def _matched(outer: EventFrame, inner: EventFrame, on_tags: list[V.Expr], where:
         c = where.build(scope) if isinstance(where, V.Expr) else V.expr(where(scope)).build(scope)
         residual = c.value if c.error is None else c.error.isNull() & c.value
     if keys:
-        right = right.withColumn("__it", F.explode("__im.tags"))
+        right = right.withColumn("__it", F.explode(_tags_like(F.col("__im.tags"), on_tags[0])))
         on = F.col("__t0") == F.col("__it")
         for i in range(1, len(keys)):
             on = on & F.array_contains(F.col("__im.tags"), F.col(f"__t{i}"))
@@ -60,6 +91,8 @@ def _matched(outer: EventFrame, inner: EventFrame, on_tags: list[V.Expr], where:
 def nest(outer: EventFrame, name: str, inner: EventFrame, on_tags: tuple = (), where=None, select: V.Expr | None = None, limit: int | None = None) -> EventFrame:
     """Binds name to the array of the sub-query's values, in event order; empty where nothing matches.  The first
     error among the values, in that order, is the row's error, which goes to the diagnostics."""
+    if (quick := _by_tag(outer, inner, on_tags, where, V.it if select is None else V.expr(select))) is not None:
+        return _nest_by_tag(outer, name, inner, *quick, limit)
     joined, scope = _matched(outer, inner, [V.expr(t) for t in on_tags], where)
     cell = (V.it if select is None else V.expr(select)).build(scope)
     by = Window.partitionBy("__row").orderBy(F.asc("__ikey") if (inner.asked or "asc") != "desc" else F.desc("__ikey"), "__ipath")
@@ -77,6 +110,20 @@ def nest(outer: EventFrame, name: str, inner: EventFrame, on_tags: tuple = (), w
     return replace(outer, df=df, names={**outer.names, name: T.ArrayType(cell.dtype)}, failed=failed)
 
 
+def _nest_by_tag(outer: EventFrame, name: str, inner: EventFrame, rows: DataFrame, tag: Column, cell: V.Cell, limit: int | None) -> EventFrame:
+    down = (inner.asked or "asc") == "desc"
+    if limit is not None:
+        by = Window.partitionBy("__it").orderBy(F.desc("__key") if down else F.asc("__key"), "__path")
+        rows = rows.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= limit)
+    entry = F.struct(F.struct(F.col("__key").alias("k"), F.col("__path").alias("p")).alias("o"), cell.value.alias("v"), (F.lit(None).cast("string") if cell.error is None else cell.error).alias("e"))
+    found = rows.groupBy("__it").agg(F.sort_array(F.collect_list(entry), not down).alias("__found"))
+    joined = _looked_up(outer, found, tag)
+    error = F.get(F.filter(F.col("__found"), lambda x: x["e"].isNotNull()), F.lit(0))["e"]
+    good, failed = outer._split(joined, error if cell.error is not None else None, "sub-query")
+    good = good.withColumn("__found", F.transform(F.coalesce("__found", F.array()), lambda x: x["v"]))
+    return replace(_bound(outer, good, name, T.ArrayType(cell.dtype)), failed=failed)
+
+
 def nest_uncorrelated(outer: EventFrame, name: str, inner: EventFrame) -> EventFrame:
     """Binds name to the values of a query that does not look at the row: computed once, one row to join."""
     entry = F.struct(F.col("__key").alias("k"), F.col("__path").alias("p"), F.col("__v").alias("v"))
@@ -89,7 +136,7 @@ def join_rows(outer: EventFrame, inner: EventFrame, on_tags: tuple = (), where=N
     """A sub-query spread into rows: each inner value is a row of its own, with its own provenance."""
     joined, scope = _matched(outer, inner, [V.expr(t) for t in on_tags], where)
     cell = (V.it if select is None else V.expr(select)).build(scope)
-    joined = joined.withColumn("__path", F.concat("__path", F.array(F.col("__ikey.lamport").cast("int")), "__ipath"))
+    joined = joined.withColumn("__path", F.concat("__path", F.array((F.col("__ikey.lamport") / 2**31).cast("int"), (F.col("__ikey.lamport") % 2**31).cast("int")), "__ipath"))
     good, failed = outer._split(joined, cell.error, "sub-query")
     df = good.select("__key", "__path", *outer._bindings(), cell.value.alias("__v"), F.col("__im").alias("__m"))
     return replace(outer, df=df, dtype=cell.dtype, failed=failed)
@@ -98,6 +145,11 @@ def join_rows(outer: EventFrame, inner: EventFrame, on_tags: tuple = (), where=N
 def nest_last(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, on_tags: tuple, where=None, earliest: bool = False) -> EventFrame:
     """Binds name to LAST (or FIRST) of e over the sub-query, NULL where there is none: one aggregate row by row
     of the outer frame, so nothing is collected."""
+    if (quick := _by_tag(outer, inner, on_tags, where, V.expr(e))) is not None:
+        rows, tag, cell = quick
+        order = F.struct(F.col("__key").alias("k"), F.col("__path").alias("p"))
+        order = order if cell.error is None else F.when(cell.error.isNull(), order)
+        return _bound(outer, _looked_up(outer, rows.groupBy("__it").agg((F.min_by if earliest else F.max_by)(cell.value, order).alias("__found")), tag), name, cell.dtype)
     joined, scope = _matched(outer, inner, [V.expr(t) for t in on_tags], where)
     cell = V.expr(e).build(scope)
     ok = F.lit(True) if cell.error is None else cell.error.isNull()
@@ -110,6 +162,10 @@ def nest_last(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, on_tag
 
 def nest_sum(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, on_tags: tuple, where=None) -> EventFrame:
     """Binds name to the SUM of e over the sub-query, NULL where nothing is added."""
+    if (quick := _by_tag(outer, inner, on_tags, where, V.expr(e))) is not None:
+        rows, tag, cell = quick
+        value = cell.value if cell.error is None else F.when(cell.error.isNull(), cell.value)
+        return _bound(outer, _looked_up(outer, rows.groupBy("__it").agg(F.sum(value).alias("__found")), tag), name, cell.dtype)
     joined, scope = _matched(outer, inner, [V.expr(t) for t in on_tags], where)
     cell = V.expr(e).build(scope)
     value = cell.value if cell.error is None else F.when(cell.error.isNull(), cell.value)
@@ -119,6 +175,19 @@ def nest_sum(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, on_tags
     return replace(outer, df=df, names={**outer.names, name: cell.dtype})
 
 
+def nest_as_of(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, on_tag: V.Expr) -> EventFrame:
+    """Binds name to e of the last inner event that has the row's tag and a key below the row's, NULL where there is none.  Both
+    sides are put in order by tag and key, so no pair of them is made."""
+    rows, tag, cell = _by_tag(outer, inner, (on_tag,), None, V.expr(e))
+    value = F.struct(cell.value.alias("v"))
+    value = value if cell.error is None else F.when(cell.error.isNull(), value)
+    asked = outer.df.select(tag.alias("__tag"), F.col("__key").alias("__at"), F.lit(0).alias("__side"), F.struct(*outer.df.columns).alias("__row"))
+    given = rows.select(F.col("__it").alias("__tag"), F.col("__key").alias("__at"), F.lit(1).alias("__side"), value.alias("__x"))
+    before = Window.partitionBy("__tag").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.unionByName(given, allowMissingColumns=True).withColumn("__found", F.last("__x", ignorenulls=True).over(before))
+    return _bound(outer, both.where(F.col("__side") == 0).select("__row.*", F.col("__found.v").alias("__found")), name, cell.dtype)
+
+
 def nest_count_above(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr, than: V.Expr) -> EventFrame:
     """Binds name to how many values of e in the sub-query are above ``than`` of the row: 0 where none is, and where ``than`` is
     NULL or in error.  No pairs are made: values are counted, the counts summed from the top within ranges of values that a
@@ -145,7 +214,7 @@ def nest_count_above(outer: EventFrame, name: str, inner: EventFrame, e: V.Expr,
 def having(outer: EventFrame, inner: EventFrame, on_tag: V.Expr, negated: bool = False) -> EventFrame:
     """Rows for which the sub-query finds something (or nothing): a semi or anti join on the computed tag."""
     c = V.expr(on_tag).build(outer.scope())
-    tags = inner.df.select(F.explode("__m.tags").alias("__it"))
+    tags = inner.df.select(F.explode(_tags_like(F.col("__m.tags"), V.expr(on_tag))).alias("__it"))
     df = outer.df.join(tags, c.value == F.col("__it"), "left_anti" if negated else "left_semi")
     return replace(outer, df=df)
 

@@ -95,10 +95,6 @@ class Where:
             return both(common)
         return both(common) & functools.reduce(lambda x, y: x | y, (both(r) for r in rest))
 
-    def required_tags(self) -> set[str]:
-        """Tags that every selected event has."""
-        return {a.value for a in frozenset.intersection(*self.alternatives) if a.kind == "tag"} if self.alternatives else set()
-
     def select(self, events: DataFrame, strict: bool = True) -> DataFrame:
         return events.where((self.checked() if strict else self).predicate())
 

@@ -18,7 +18,7 @@ from ..functions.values import alternative, app, array, call, case, first, is_de
 from ..operators import observe, offsets, subqueries, tags as S, writing
 from ..operators.frame import EventFrame, limited_aggregate, running_limit
 from ..sources.events import dump, item_events, json_lines, order_events, restore, user_events, valid_app_id
-from ..streaming import subscribe as live
+from ..streaming import live
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,9 +342,16 @@ def sum_product_bool(spark, d):
     return ev(spark, d).aggregate(obj(s=total(it.k > 98), p=product(it.k >= 0))).rows()
 
 
-@query("SELECT product(k)::BIGINT AS value FROM (SELECT k FROM e WHERE k > 0 AND event_type = 'view' ORDER BY lamport LIMIT 6)")
+@query("SELECT product(CASE WHEN lamport % 5000 = 7 THEN 3 ELSE 1 END)::BIGINT AS value, (SELECT count(*) FROM e WHERE false) AS none FROM e")
 def product_number(spark, d):
-    return ev(spark, d, S.tag("view")).filter(it.k > 0).limit(6).aggregate(product(it.k)).rows()
+    """Over all events, most of which give 1."""
+    of = case((V.column(F.col("__key.lamport") % 5000 == 7, T.BooleanType()), 3), (True, 1))
+    return ev(spark, d).aggregate(product(of)).rows().withColumn("none", F.lit(0).cast("bigint"))
+
+
+@query("SELECT 'integer overflow' AS message")
+def product_overflow(spark, d):
+    return ev(spark, d, S.tag("view")).filter(it.k > 1).aggregate(product(it.k)).diagnostics().select("message")
 
 
 @query("SELECT min(k) AS a, max(k) AS b, min(event_type) AS c, max(value) AS d FROM e")
@@ -464,17 +471,8 @@ def subquery_theta(spark, d):
     return f.df.select(F.col("__v.o_orderkey").alias("o"), F.size("__b_n").cast("bigint").alias("n"))
 
 
-@query("SELECT k AS a, (SELECT count(*) FROM (SELECT DISTINCT k FROM e WHERE event_type = 'view' AND lamport <= 200) t WHERE t.k > e.k) AS n FROM e WHERE event_type = 'signup' AND lamport <= 200")
-def subquery_comparison(spark, d):
-    few = S.key("<=", 200, "~")
-    inner = ev(spark, d, S.tag("view") & few)
-    inner = EventFrame(inner.df.withColumn("__k", F.col("__v.k")).dropDuplicates(["__k"]).drop("__k"), inner.dtype)
-    f = subqueries.nest(ev(spark, d, S.tag("signup") & few).let("a", it.k), "n", inner, where=lambda s: it.k > var("a"), select=it.k)
-    return f.df.select(F.col("__b_a").alias("a"), F.size("__b_n").cast("bigint").alias("n"))
-
-
 @query("SELECT k AS a, n FROM e JOIN (SELECT x.k, count(t.k) AS n FROM (SELECT DISTINCT k FROM e) x LEFT JOIN (SELECT DISTINCT k FROM e WHERE event_type = 'view') t ON t.k > x.k GROUP BY 1) USING (k) WHERE event_type = 'signup'")
-def subquery_comparison_whole(spark, d):
+def subquery_comparison(spark, d):
     """How many different values are above the row's, over all events and without making pairs."""
     inner = ev(spark, d, S.tag("view"))
     inner = EventFrame(inner.df.withColumn("__k", F.col("__v.k")).dropDuplicates(["__k"]).drop("__k"), inner.dtype)
@@ -489,33 +487,18 @@ def subquery_uncorrelated(spark, d):
     return f.df.select(F.col("__v.user_id").alias("user_id"), F.size("__b_few").cast("bigint").alias("n"))
 
 
-@query("SELECT user_id AS u, max(k) AS k FROM (SELECT x.user_id, y.k FROM (SELECT * FROM e WHERE event_type = 'signup' AND lamport < 2000) x JOIN (SELECT * FROM e WHERE lamport < 2000) y ON x.user_id = y.user_id AND y.event_type = 'error') GROUP BY 1")
-def subquery_two_tags(spark, d):
-    """Two computed tags, both of which must hold."""
-    few = S.key("<", 2000)
-    f = subqueries.join_rows(ev(spark, d, S.tag("signup") & few).let("u", it.user_id), ev(spark, d, few), (text("user:", it.user_id), text("err", "or")), select=obj(u=var("u"), k=it.k))
-    return f.rows().groupBy("u").agg(F.max("k").alias("k"))
-
-
 @query("SELECT y.user_id AS u, max(y.k) AS k FROM e y WHERE event_type = 'error' AND EXISTS (SELECT 1 FROM e x WHERE x.user_id = y.user_id AND x.event_type = 'signup') GROUP BY 1")
-def subquery_two_tags_whole(spark, d):
-    """The same for all events.  What is asked depends on the two tags alone, so each user is asked once, not each sign-up."""
+def subquery_two_tags(spark, d):
+    """Two computed tags, both of which must hold.  What is asked depends on the two tags alone, so each user is asked once, not each sign-up."""
     users = ev(spark, d, S.tag("signup")).let("u", it.user_id)
     users = replace(users, df=users.df.dropDuplicates(["__b_u"]))
     f = subqueries.join_rows(users, ev(spark, d, S.tag("error")), (text("user:", var("u")), text("err", "or")), select=obj(u=var("u"), k=it.k))
     return f.rows().groupBy("u").agg(F.max("k").alias("k"))
 
 
-@query("SELECT o_custkey AS c, o_orderkey AS o, l_linenumber::BIGINT AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 20")
+@query("SELECT o_custkey AS c, o_orderkey AS o, l_linenumber::BIGINT AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def subquery_nested(spark, d):
     """Customers' orders, and each order's items: two levels."""
-    level1 = EventFrame.of(order_events(spark, d), S.tag("order")).filter(it.o_custkey < 20).let("c", it.o_custkey).let("o", it.o_orderkey)
-    level2 = subqueries.nest(level1, "lines", items(spark, d), on_tags=(order_tag,), select=it.l_linenumber)
-    return level2.select(spread(var("lines"))).df.select(F.col("__b_c").alias("c"), F.col("__b_o").alias("o"), F.col("__v").alias("l"))
-
-
-@query("SELECT o_custkey AS c, o_orderkey AS o, l_linenumber::BIGINT AS l FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def subquery_nested_whole(spark, d):
     level1 = EventFrame.of(order_events(spark, d), S.tag("order")).let("c", it.o_custkey).let("o", it.o_orderkey)
     level2 = subqueries.nest(level1, "lines", items(spark, d), on_tags=(order_tag,), select=it.l_linenumber)
     return level2.select(spread(var("lines"))).df.select(F.col("__b_c").alias("c"), F.col("__b_o").alias("o"), F.col("__v").alias("l"))
@@ -528,22 +511,11 @@ def subquery_error(spark, d):
     return f.diagnostics().where(F.col("message") == "integer overflow").select((F.col("lamport") - 1).alias("o"))
 
 
-@query("SELECT e.lamport, max(p.lamport) AS before FROM (SELECT * FROM e WHERE event_type = 'error' AND lamport < 1500) e LEFT JOIN (SELECT * FROM e WHERE event_type = 'purchase') p ON p.user_id = e.user_id AND p.lamport < e.lamport GROUP BY 1")
+@query("SELECT lamport, before FROM (SELECT lamport, event_type, max(CASE WHEN event_type = 'purchase' THEN lamport END) OVER (PARTITION BY user_id ORDER BY lamport) AS before FROM e) WHERE event_type = 'error'")
 def subquery_as_of(spark, d):
     """The user's last purchase before each error."""
-    outer = ev(spark, d, S.tag("error") & S.key("<", 1500))
-    before = lambda s: V.column(F.col("__ikey") < F.col("__key"), T.BooleanType())
     inner = ev(spark, d, S.tag("purchase")).let("at", V.column(F.col("__key.lamport"), T.LongType()))
-    f = subqueries.nest_last(outer, "before", inner, var("at"), (text("user:", it.user_id),), where=before)
-    return f.df.select(F.col("__key.lamport").alias("lamport"), F.col("__b_before").alias("before"))
-
-
-@query("SELECT lamport, before FROM (SELECT lamport, event_type, max(CASE WHEN event_type = 'purchase' THEN lamport END) OVER (PARTITION BY user_id ORDER BY lamport) AS before FROM e) WHERE event_type = 'error'")
-def subquery_as_of_whole(spark, d):
-    """The user's last purchase before each error, of all errors."""
-    before = lambda s: V.column(F.col("__ikey") < F.col("__key"), T.BooleanType())
-    inner = ev(spark, d, S.tag("purchase")).let("at", V.column(F.col("__key.lamport"), T.LongType()))
-    f = subqueries.nest_last(ev(spark, d, S.tag("error")), "before", inner, var("at"), (text("user:", it.user_id),), where=before)
+    f = subqueries.nest_as_of(ev(spark, d, S.tag("error")), "before", inner, var("at"), text("user:", it.user_id))
     return f.df.select(F.col("__key.lamport").alias("lamport"), F.col("__b_before").alias("before"))
 
 
@@ -597,14 +569,8 @@ def event_ids(spark, d):
     return user_events(spark, d).select(offsets.event_id().alias("id"))
 
 
-@query("SELECT lamport FROM e WHERE lamport < 300")
-def merged(spark, d):
-    e = user_events(spark, d)
-    return offsets.merged(e.where("lamport < 200"), e.where("lamport >= 100 AND lamport < 300")).select("lamport")
-
-
 @query("SELECT lamport FROM e")
-def merged_whole(spark, d):
+def merged(spark, d):
     """Two sets that share a third of the events and hold all of them together."""
     e = user_events(spark, d)
     return offsets.merged(e.where("lamport % 3 <> 0"), e.where("lamport % 3 <> 1")).select("lamport")
@@ -715,93 +681,134 @@ def _shared(spark) -> str:
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return base or f"file://{tempfile.mkdtemp(prefix='loomstream-')}"
 
 
 #: Events of a slice, about: what a micro-batch takes in.
 SLICE = 100_000
+PARTS = 4
+
+
+def inputs(e: DataFrame, value: str = "payload.k") -> DataFrame:
+    """Events as a subscription takes them: grouped by their type."""
+    return e.select("lamport", "node", "stream_nr", "offset", "tags", F.col(value).alias("value"), F.col("payload.event_type").alias("grp"), F.lit(False).alias("anti"))
 
 
-def _said(spark, e: DataFrame, of: Callable[[DataFrame], DataFrame], parts: int = 4) -> DataFrame:
-    """What a subscription says of all events of e, which come in at least so many slices in order of key.  A slice is a range
-    of lamports between the least and the highest, written by many tasks; the subscription then goes on with it as one
-    micro-batch, so the order does not hang on the times of files."""
-    e = e.select("lamport", "node", F.lit(0).cast("bigint").alias("stream_nr"), "offset", "tags", F.col("payload.k").alias("value"), F.col("payload.event_type").alias("grp"), F.lit(False).alias("anti"))
-    own = uuid.uuid4().hex
-    path, state = f"{_shared(spark)}/loomstream-stream-{own}", f"{_shared(spark)}/loomstream-state-{own}"
+def slices_of(e: DataFrame) -> list[DataFrame]:
+    """Ranges of lamports that cut e into at least PARTS slices of about SLICE events at most."""
     n, low, high = e.agg(F.count("*"), F.coalesce(F.min("lamport"), F.lit(0)), F.coalesce(F.max("lamport"), F.lit(0))).first()
-    parts = max(parts, -(-n // SLICE))
+    parts = max(PARTS, -(-n // SLICE))
     edges = [low + (high + 1 - low) * i // parts for i in range(parts + 1)]
-    for start, end in zip(edges, edges[1:]):
-        e.where((F.col("lamport") >= start) & (F.col("lamport") < end)).repartitionByRange("lamport").write.mode("append").parquet(path)
-        said = live.run_to_table(of(spark.readStream.schema(e.schema).parquet(path)), state, "said")
+    return [e.where((F.col("lamport") >= start) & (F.col("lamport") < end)) for start, end in zip(edges, edges[1:])]
+
+
+def subscribed(spark, step: live.Step, slices: list[DataFrame], known: DataFrame | None = None, lower: offsets.OffsetMap | None = None) -> DataFrame:
+    """What a subscription says of what is known, and then of the slices, which come into its stream one after another, each as one
+    micro-batch."""
+    path = f"{_shared(spark)}/loomstream-subscription-{uuid.uuid4().hex}"
+    subscription = live.Subscription(path, step)
+    after = subscription.catch_up(known, lower) if known is not None else None
+    for part in slices:
+        part.repartitionByRange("lamport").write.mode("append").parquet(f"{path}/stream")
+        said = subscription.run(spark.readStream.schema(part.schema).parquet(f"{path}/stream"), after)
     return said
 
 
-def _first_10k(spark, d) -> DataFrame:
-    """The events that the SQL of four subscriptions is about; subscribe_*_whole take all."""
-    return user_events(spark, d).where("lamport < 10000")
-
-
-def _last_sum(said: DataFrame) -> DataFrame:
-    """The last word of each group after retractions: events count, antiEvents take back."""
-    sign = F.when(F.col("type") == "event", F.col("value")).otherwise(-F.col("value"))
-    return said.groupBy("grp").agg(F.sum(sign).alias("value"))
+def _net(said: DataFrame) -> DataFrame:
+    """What stands of each group's results: events count, antiEvents take back."""
+    sign = F.when(F.col("type") == "event", 1).when(F.col("type") == "antiEvent", -1).otherwise(0)
+    left = said.where("type <> 'diagnostic'").groupBy("grp", "value").agg(F.sum(sign).alias("n")).where("n > 0")
+    return left.select("grp", "value")
 
 
-def _last_word(said: DataFrame) -> DataFrame:
-    return said.where("type = 'event'").groupBy("grp").agg(F.max_by("value", "seq").alias("value"))
+@query("SELECT event_type AS grp, sum(k)::BIGINT AS value FROM e GROUP BY 1")
+def subscribe_sum(spark, d):
+    said = subscribed(spark, live.aggregating(live.Aggregate("sum")), slices_of(inputs(user_events(spark, d))))
+    return _net(said).select("grp", F.col("value").cast("bigint").alias("value"))
 
 
-def _counted(said: DataFrame) -> DataFrame:
-    return said.where("type = 'event'").groupBy("grp").agg(F.count("*").alias("n"))
+@query("SELECT event_type AS grp, arg_max(k, lamport) AS value FROM e GROUP BY 1")
+def subscribe_last(spark, d):
+    return _net(subscribed(spark, live.aggregating(live.Aggregate("last")), slices_of(inputs(user_events(spark, d)))))
 
 
-def _bad_k(stream: DataFrame) -> DataFrame:
-    """Stateless stages run on a stream as they are."""
-    return stream.where(F.array_contains("tags", "error") & (F.col("value") > 50)).select("lamport")
+@query("SELECT event_type AS grp, min(strftime(ts, '%Y-%m-%d')) AS value FROM e GROUP BY 1")
+def subscribe_min_text(spark, d):
+    """MIN of texts."""
+    e = user_events(spark, d).withColumn("payload", F.struct("payload.event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")))
+    return _net(subscribed(spark, live.aggregating(live.Aggregate("min")), slices_of(inputs(e, "payload.day"))))
 
 
-@query("SELECT event_type AS grp, sum(k)::DOUBLE AS value FROM e WHERE lamport < 10000 GROUP BY 1")
-def subscribe_sum(spark, d):
-    return _last_sum(_said(spark, _first_10k(spark, d), lambda s: live.retracting(s, "sum")))
+@query("SELECT event_type AS grp, sum(k)::BIGINT AS value FROM e WHERE k <= 50 GROUP BY 1")
+def subscribe_anti_sum(spark, d):
+    """Anti-inputs for all events above 50 come after the events."""
+    e = inputs(user_events(spark, d))
+    back = e.where("value > 50").withColumn("anti", F.lit(True)).select(e.columns)
+    said = subscribed(spark, live.aggregating(live.Aggregate("sum")), [*slices_of(e), *slices_of(back)])
+    return _net(said).select("grp", F.col("value").cast("bigint").alias("value"))
 
 
-@query("SELECT event_type AS grp, sum(k)::DOUBLE AS value FROM e GROUP BY 1")
-def subscribe_sum_whole(spark, d):
-    return _last_sum(_said(spark, user_events(spark, d), lambda s: live.retracting(s, "sum")))
+@query("SELECT DISTINCT event_type AS grp, 'diagnostic' AS type, 'error' AS severity, 'anti-input cannot be processed in MAX()' AS message FROM e")
+def subscribe_anti_max(spark, d):
+    e = inputs(user_events(spark, d))
+    back = e.withColumn("anti", F.lit(True)).select(e.columns)
+    said = subscribed(spark, live.aggregating(live.Aggregate("max")), [*slices_of(e), *slices_of(back)])
+    return said.where("type = 'diagnostic'").select("grp", "type", "severity", "message")
 
 
-@query("SELECT event_type AS grp, arg_max(k, lamport)::DOUBLE AS value FROM e WHERE lamport < 10000 GROUP BY 1")
-def subscribe_last(spark, d):
-    return _last_word(_said(spark, _first_10k(spark, d), lambda s: live.retracting(s, "last")))
+@query("SELECT event_type AS grp, 1::BIGINT AS value FROM e GROUP BY 1")
+def subscribe_chain(spark, d):
+    """AGGREGATE LAST(_) AGGREGATE SUM(1): the second takes back what the first does, so it stays at one."""
+    chain = live.aggregating(live.Aggregate("last"), live.Aggregate("sum", lambda v: F.lit(1).cast("bigint")))
+    said = subscribed(spark, chain, slices_of(inputs(user_events(spark, d))))
+    return said.where("type = 'event'").select("grp", F.col("value").cast("bigint").alias("value"))
 
 
-@query("SELECT event_type AS grp, arg_max(k, lamport)::DOUBLE AS value FROM e GROUP BY 1")
-def subscribe_last_whole(spark, d):
-    return _last_word(_said(spark, user_events(spark, d), lambda s: live.retracting(s, "last")))
+@query("SELECT lamport, node, k AS value FROM e")
+def subscribe_monotonic(spark, d):
+    said = subscribed(spark, live.monotonic(), slices_of(inputs(user_events(spark, d))))
+    return said.where("type = 'event'").select("lamport", "node", "value")
 
 
-@query("SELECT event_type AS grp, count(*) AS n FROM e WHERE lamport < 10000 GROUP BY 1")
-def subscribe_monotonic(spark, d):
-    return _counted(_said(spark, _first_10k(spark, d), live.monotonic))
+@query("SELECT 'event' AS type, lamport FROM e WHERE lamport > 100 UNION ALL SELECT 'timeTravel', 1")
+def subscribe_time_travel(spark, d):
+    """The first hundred events come last: the subscription names the earliest of them and ends."""
+    e = inputs(user_events(spark, d))
+    said = subscribed(spark, live.monotonic(), [*slices_of(e.where("lamport > 100")), e.where("lamport <= 100")])
+    return said.select("type", "lamport")
 
 
-@query("SELECT event_type AS grp, count(*) AS n FROM e GROUP BY 1")
-def subscribe_monotonic_whole(spark, d):
-    return _counted(_said(spark, user_events(spark, d), live.monotonic))
+@query("""SELECT lamport, node FROM e WHERE NOT (node = 'n1' AND "offset" <= 20)""")
+def subscribe_above(spark, d):
+    """Known events above a lower bound, then those that come: half of the events are known at the start, and all come again."""
+    e = inputs(dense(spark, d))
+    middle = e.agg(F.percentile_approx("lamport", 0.5)).first()[0]
+    said = subscribed(spark, live.monotonic(), [e], known=e.where(F.col("lamport") <= middle), lower=offsets.OffsetMap({("n1", 0): 20}))
+    return said.where("type = 'event'").select("lamport", "node")
 
 
-@query("SELECT event_type AS grp, 10::BIGINT AS n FROM e GROUP BY 1")
+@query("SELECT event_type AS grp, lamport FROM (SELECT event_type, lamport, row_number() OVER (PARTITION BY event_type ORDER BY lamport) AS r FROM e) WHERE r <= 10")
 def subscribe_limit(spark, d):
-    return _counted(_said(spark, user_events(spark, d), lambda s: live.limited(s, 10)))
+    said = subscribed(spark, live.limiting(10), slices_of(inputs(user_events(spark, d))))
+    return said.where("type = 'event'").select("grp", "lamport")
 
 
-@query("SELECT lamport FROM e WHERE event_type = 'error' AND k > 50 AND lamport < 10000")
+@query("SELECT lamport FROM e WHERE event_type = 'error' AND k > 50")
 def subscribe_filter(spark, d):
-    return _said(spark, _first_10k(spark, d), _bad_k)
+    """Stages without state run on a stream as they are."""
+    e = inputs(user_events(spark, d))
+    path = f"{_shared(spark)}/loomstream-subscription-{uuid.uuid4().hex}"
+    for part in slices_of(e):
+        part.repartitionByRange("lamport").write.mode("append").parquet(f"{path}/stream")
+        bad = spark.readStream.schema(e.schema).parquet(f"{path}/stream").where(F.array_contains("tags", "error") & (F.col("value") > 50)).select("lamport")
+        said = live.run_to_table(bad, f"{path}/checkpoint", f"{path}/said")
+    return said
 
 
-@query("SELECT lamport FROM e WHERE event_type = 'error' AND k > 50")
-def subscribe_filter_whole(spark, d):
-    return _said(spark, user_events(spark, d), _bad_k)
+@query("SELECT lamport FROM e WHERE lamport <= 10 ORDER BY lamport LIMIT 1")
+def subscribe_fixed_start(spark, d):
+    """What a caller who knows no event of stream n0 but has reached lamport 10 must go back to: nothing if all is known."""
+    e = dense(spark, d)
+    return live.time_travel_before(e, offsets.OffsetMap({}), (10, "~", 0)).select("lamport")
