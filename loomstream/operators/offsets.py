@@ -90,21 +90,33 @@ def within(events: DataFrame, lower: OffsetMap | None = None, upper: OffsetMap |
     return out.select(events.columns)
 
 
-def chunks(events: DataFrame, size: int, descending: bool = False) -> DataFrame:
-    """events with ``chunk``: in key order, so many events each.
+#: Numbers of a range, and ranges of a range of ranges.
+STEP = 4096
+
 
-    Rows are numbered without one global window: rows are counted in ranges of lamport and numbered within them.
+def placed(rows: DataFrame, number: str, by: tuple[str, ...] = (), ties: tuple[str, ...] = (), descending: bool = False, name: str = "__at") -> DataFrame:
+    """rows with their place (from 0) in the order of an integer column, for each value of ``by``.
+
+    Rows are numbered within ranges of STEP numbers, and what comes before a range is summed up in two levels, so the one task that
+    sees a whole group has a row for STEP * STEP numbers.
     """
-    key = ["lamport", "node", "stream_nr"]
     sign = -1 if descending else 1
-    ranges = events.withColumn("__range", F.floor(F.col("lamport") / 4096) * sign)
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranges.groupBy("__range").agg(F.count("*").alias("__c"))
-    starts = counts.select("__range", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
-    order = [F.desc(k) if descending else F.asc(k) for k in key]
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    at = F.col("__start") + F.col("__at") - 1
-    return ranges.withColumn("__at", inside).join(starts, "__range").withColumn("chunk", F.floor(at / size).cast("bigint")).drop("__range", "__at", "__start")
+    held = rows.withColumn("__range", F.floor(F.col(number) / STEP) * sign)
+    counts = held.groupBy(*by, "__range").agg(F.count("*").alias("__c")).withColumn("__wide", F.floor(F.col("__range") / STEP))
+    above = lambda order, *part: Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    wide = counts.groupBy(*by, "__wide").agg(F.sum("__c").alias("__sum"))
+    wide = wide.select(*by, "__wide", F.coalesce(F.sum("__sum").over(above("__wide", *by)), F.lit(0)).alias("__first"))
+    inside = F.coalesce(F.sum("__c").over(above("__range", *by, "__wide")), F.lit(0))
+    starts = counts.withColumn("__in", inside).join(wide, [*by, "__wide"]).select(*by, "__range", (F.col("__first") + F.col("__in")).alias("__start"))
+    order = [F.desc(c) if descending else F.asc(c) for c in (number, *ties)]
+    own = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order)) - 1
+    return held.withColumn("__own", own).join(starts, [*by, "__range"]).withColumn(name, F.col("__start") + F.col("__own")).drop("__range", "__own", "__start")
+
+
+def chunks(events: DataFrame, size: int, descending: bool = False) -> DataFrame:
+    """events with ``chunk``: in key order, so many events each."""
+    at = placed(events, "lamport", ties=("node", "stream_nr"), descending=descending)
+    return at.withColumn("chunk", F.floor(F.col("__at") / size).cast("bigint")).drop("__at")
 
 
 def chunk_bounds(events: DataFrame, size: int) -> DataFrame:
@@ -119,5 +131,8 @@ def event_id() -> Column:
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Events of both, each key once."""
-    return a.unionByName(b).dropDuplicates(["lamport", "node", "stream_nr"])
+    """Events of both, each key once; of two with one key the one of a, or within a table the older."""
+    both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
+    key = ["lamport", "node", "stream_nr"]
+    older = F.min_by(F.struct(*a.columns), F.struct("__side", "ts", "offset"))
+    return both.groupBy(*key).agg(older.alias("__e")).select("__e.*")

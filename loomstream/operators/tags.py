@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import functools
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -95,6 +96,17 @@ class Where:
             return both(common)
         return both(common) & functools.reduce(lambda x, y: x | y, (both(r) for r in rest))
 
+    def implied(self, raw: Callable[[Atom], Column | None]) -> Column | None:
+        """What the selection says about a table under its events, for a scan to use: raw gives an atom's condition on
+        the table's own columns, or None where it has none."""
+        found = []
+        for c in self.alternatives:
+            parts = [x for x in (raw(a) for a in sorted(c, key=str)) if x is not None]
+            if not parts:
+                return None
+            found.append(functools.reduce(lambda a, b: a & b, parts))
+        return functools.reduce(lambda a, b: a | b, found) if found else None
+
     def select(self, events: DataFrame, strict: bool = True) -> DataFrame:
         return events.where((self.checked() if strict else self).predicate())
 

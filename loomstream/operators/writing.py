@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .offsets import placed
 from .tags import Where
 
 #: Streams 0 to 3 (fixed values).
@@ -45,20 +46,19 @@ def route(events: DataFrame, routes: list[Route]) -> Column:
 
 
 def publish(store: DataFrame, batch: DataFrame, node: str, app_id: str, at: str, routes: list[Route] | None = None) -> DataFrame:
-    """Events of a batch (n: its order, tags, payload), appended to what the store holds: lamports go on from the
+    """Events of a batch (n: its order, an integer; tags, payload), appended to what the store holds: lamports go on from the
     store's highest, offsets from each stream's highest; all get the one time of the request."""
     rows = batch.withColumn("tags", F.array_sort(F.array_distinct("tags"))).withColumn("app_id", F.lit(app_id))
     rows = rows.withColumn("stream_nr", route(rows, routes or []))
     top = store.agg(F.coalesce(F.max("lamport"), F.lit(0)).alias("__l"))
     own = store.where(F.col("node") == node).groupBy("stream_nr").agg((F.max("offset") + 1).alias("__o"))
     rows = rows.crossJoin(F.broadcast(top)).join(F.broadcast(own), "stream_nr", "left")  # one row; one for each stream
-    place = F.row_number().over(Window.orderBy("n"))
-    inside = F.row_number().over(Window.partitionBy("stream_nr").orderBy("n"))
+    rows = placed(placed(rows, "n", name="__place"), "n", by=("stream_nr",), name="__inside")
     return rows.select(
-        (F.col("__l") + place).cast("bigint").alias("lamport"),
+        (F.col("__l") + F.col("__place") + 1).cast("bigint").alias("lamport"),
         F.lit(node).alias("node"),
         "stream_nr",
-        (F.coalesce("__o", F.lit(0)) + inside - 1).cast("bigint").alias("offset"),
+        (F.coalesce("__o", F.lit(0)) + F.col("__inside")).cast("bigint").alias("offset"),
         F.lit(at).cast("timestamp").alias("ts"),
         "tags",
         "app_id",

@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def ev(spark, d, where: S.Where = S.all_events, **k) -> EventFrame:
-    return EventFrame.of(user_events(spark, d), where, **k)
+    return EventFrame.of(user_events(spark, d, where=where), where, **k)
 
 
 def keys(f: EventFrame) -> DataFrame:
@@ -191,10 +191,10 @@ def limit_emissions(spark, d):
     return ev(spark, d).select(it.k, it.user_id).limit(7).rows()
 
 
-@query("SELECT user_id, max(k) AS k FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY lamport) AS r FROM e) WHERE r <= 3 GROUP BY user_id")
+@query("SELECT user_id, k FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY lamport) AS r FROM e) WHERE r <= 3")
 def limit_by_entity(spark, d):
     f = running_limit(ev(spark, d).let("u", it.user_id), 3, ["u"])
-    return f.select(obj(user_id=var("u"), k=it.k)).rows().groupBy("user_id").agg(F.max("k").alias("k"))
+    return f.select(obj(user_id=var("u"), k=it.k)).rows()
 
 
 # -- expressions ---------------------------------------------------------------------------------------------
@@ -625,16 +625,16 @@ def routed(spark, d):
 
 
 @query("""SELECT (SELECT max(lamport) FROM e) + row_number() OVER (ORDER BY lamport) AS lamport,
-  (SELECT max("offset") FROM e WHERE node = 'n0') + row_number() OVER (ORDER BY lamport) AS "offset", k FROM (SELECT * FROM e ORDER BY lamport LIMIT 100)""")
+  (SELECT max("offset") FROM e WHERE node = 'n0') + row_number() OVER (ORDER BY lamport) AS "offset", k FROM e""")
 def published(spark, d):
     e = dense(spark, d)
-    batch = e.orderBy("lamport").limit(100).select(F.col("lamport").alias("n"), "tags", "payload")
+    batch = e.select(F.col("lamport").alias("n"), "tags", "payload")
     return writing.publish(e, batch, "n0", "com.example.me", "2024-02-01 00:00:00").select("lamport", "offset", F.col("payload.k").alias("k"))
 
 
-@query("""SELECT node, count(*) AS n, min("offset") AS lo FROM (SELECT *, max("offset") OVER (PARTITION BY node) AS t FROM e) WHERE "offset" > t - 100 GROUP BY 1""")
+@query("""SELECT node, "offset", lamport FROM (SELECT *, max("offset") OVER (PARTITION BY node) AS t FROM e) WHERE "offset" > t - 100""")
 def retain_events(spark, d):
-    return writing.retain(dense(spark, d), max_events=100).groupBy("node").agg(F.count("*").alias("n"), F.min("offset").alias("lo"))
+    return writing.retain(dense(spark, d), max_events=100).select("node", "offset", "lamport")
 
 
 @query("SELECT lamport FROM e WHERE ts >= TIMESTAMP '2024-01-29 00:00:00'")
@@ -642,9 +642,12 @@ def retain_age(spark, d):
     return writing.retain(user_events(spark, d), max_age="2d", now="2024-01-31 00:00:00").select("lamport")
 
 
-@query()
+@query("""SELECT node, "offset" FROM (SELECT node, "offset", sum(40 + length(k::VARCHAR)) OVER (PARTITION BY node ORDER BY "offset" DESC) AS held,
+  max("offset") OVER (PARTITION BY node) AS t FROM e) WHERE held <= 10240 AND "offset" > t - 1000""")
 def retain_size(spark, d):
-    return writing.retain(dense(spark, d), max_size="10KiB", max_events=1000).groupBy("node").agg(F.count("*").alias("n"))
+    """Payloads of a size that SQL can tell: {"k":<number>,"x":<29 letters>}."""
+    e = dense(spark, d).withColumn("payload", F.struct("payload.k", F.lit("x" * 27).alias("x")))
+    return writing.retain(e, max_size="10KiB", max_events=1000).select("node", "offset")
 
 
 @query("SELECT lamport, k, user_id FROM e")
@@ -663,10 +666,13 @@ def json_source(spark, d):
     return got.select("lamport", "payload.k", "app_id", F.col("tags")[0].alias("tag"))
 
 
-@query("SELECT CASE WHEN event_type = 'error' THEN 'diagnostic' ELSE 'event' END AS type, count(*) AS n FROM e GROUP BY 1")
+@query("""SELECT CASE WHEN event_type = 'error' THEN 'diagnostic' ELSE 'event' END AS type, lamport,
+  CASE WHEN event_type <> 'error' THEN k END AS payload, CASE WHEN event_type = 'error' THEN 'no case matched' END AS message FROM e""")
 def response_lines(spark, d):
+    """The lines, read back."""
     f = ev(spark, d).select(case((it.event_type != "error", it.k)))
-    return f.response().groupBy("type").agg(F.count("line").alias("n"))
+    line = F.from_json("line", "type string, lamport bigint, payload bigint, message string")
+    return f.response().select(line["type"].alias("type"), "lamport", line["payload"].alias("payload"), line["message"].alias("message"))
 
 
 @query("SELECT app_id, true AS ok FROM e GROUP BY 1")

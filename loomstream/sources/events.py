@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from ..operators.offsets import placed
+from ..operators.tags import Atom, Where
 
 COLUMNS = ("lamport", "node", "stream_nr", "offset", "ts", "tags", "app_id", "is_local", "payload")
 #: Fixed form of application ids.
@@ -22,12 +24,31 @@ def tag_set(*tags: Column) -> Column:
     return F.filter(F.array_sort(F.array_distinct(F.array_compact(F.array(*tags)))), lambda t: t != "")
 
 
-def user_events(spark: SparkSession, sf_dir: str, offsets: bool = False) -> DataFrame:
+def _on_users(atom: Atom) -> Column | None:
+    """A selection's atom as a condition on the columns of the ``events`` table."""
+    if atom.kind == "key":
+        op, (lamport, _, _) = atom.op, atom.value
+        return F.col("event_id") >= lamport - 1 if op in (">", ">=") else F.col("event_id") <= lamport - 1
+    if atom.kind == "app":
+        return F.col("event_type") == "error" if atom.value == "com.example.ops" else None
+    if atom.kind == "tag" and atom.value != "user":
+        kind, user = F.col("event_type") == atom.value, str(atom.value).removeprefix("user:")
+        return kind | (F.col("user_id") == int(user)) if user.isdecimal() and str(int(user)) == user and user != atom.value else kind
+    return None
+
+
+def user_events(spark: SparkSession, sf_dir: str, offsets: bool = False, where: Where | None = None) -> DataFrame:
     """The ``events`` table: four nodes, tags for the kind of event and the user.  The table has no offsets;
-    with offsets they are numbered without gaps in each stream, otherwise they only ascend."""
+    with offsets they are numbered without gaps in each stream, otherwise they only ascend.  where: a selection that will be
+    made from the events; what it says about the table's own columns goes to the scan (not with offsets, which count all)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    known = where.implied(_on_users) if where is not None and not offsets else None
+    if known is not None:
+        e = e.where(known)
     node = F.col("user_id") % 4
-    dense = F.row_number().over(Window.partitionBy(node).orderBy("event_id")) - 1
+    if offsets:
+        e = placed(e.withColumn("__node", node), "event_id", by=("__node",), name="__offset")
+    dense = F.col("__offset")
     return e.select(
         (F.col("event_id") + 1).alias("lamport"),
         F.concat(F.lit("n"), node.cast("string")).alias("node"),
@@ -77,12 +98,14 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_lines(lines: DataFrame, payload: T.DataType | str, now: Column | None = None, app_id: str = DEFAULT_APP, line: str = "value", number: str | None = None) -> DataFrame:
     """Events from JSON lines {timestamp (microseconds) or time (ISO), tags, appId, payload}.  timestamp
     beats time; both default to now, appId to app_id.  Lines that are not JSON objects are dropped.  number
-    names a column that orders the lines; without it they keep the order of their partitions."""
+    names an integer column that orders the lines; without it they keep the order of their partitions."""
     kind = payload if isinstance(payload, str) else payload.simpleString()
     parsed = F.from_json(F.col(line), f"timestamp bigint, time string, tags array<string>, appId string, payload {kind}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     rows = lines.select((F.col(number) if number else F.monotonically_increasing_id()).alias("__n"), parsed.alias("e"))
     rows = rows.where(F.col("e").isNotNull() & F.col("e._bad").isNull())
-    at = (F.row_number().over(Window.orderBy("__n")) - 1).cast("long") if number is None else F.col("__n").cast("long")
+    at = F.col("__n").cast("long")
+    if number is None:
+        rows, at = placed(rows, "__n"), F.col("__at").cast("long")
     moment = F.coalesce(F.timestamp_micros("e.timestamp"), F.try_to_timestamp("e.time"), now if now is not None else F.current_timestamp())
     return rows.select(
         (at + 1).alias("lamport"),

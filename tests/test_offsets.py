@@ -38,7 +38,7 @@ def test_unknown_streams_hold_nothing():
 
 
 def test_units_of_retention():
-    assert bytes_of("2MB") == 2_000_000 or bytes_of("2MB") == 2 << 20
+    assert bytes_of("2MB") == 2_000_000 and bytes_of("2MiB") == 2 << 20
     assert seconds_of("3d") == 3 * 86400
     for wrong in ("3", "d", "3 parsecs"):
         with pytest.raises(ValueError):
@@ -54,3 +54,36 @@ def test_selections_are_reduced():
 def test_bad_tags_are_refused():
     with pytest.raises(ValueError):
         S.tag("")
+
+
+def test_places_need_no_window_over_all(spark, monkeypatch):
+    import random
+
+    from loomstream.operators import offsets
+
+    monkeypatch.setattr(offsets, "STEP", 4)
+    r = random.Random(1)
+    rows = [(g, n, r.randrange(9)) for g in "ab" for n in r.sample(range(2_000), 300)]
+    table = spark.createDataFrame(rows, "g string, n bigint, x int").repartition(5)
+    for down in (False, True):
+        got = {(x["g"], x["n"]): x["__at"] for x in offsets.placed(table, "n", by=("g",), descending=down).collect()}
+        for g in "ab":
+            own = sorted((n for h, n, _ in rows if h == g), reverse=down)
+            assert [got[g, n] for n in own] == list(range(300))
+
+
+def test_selections_reach_the_scan(spark, capsys):
+    from loomstream.plans import queries as plans
+
+    for name, pushed in (("scan_tag", "EqualTo(event_type,purchase)"), ("scan_key", "GreaterThanOrEqual(event_id,499)"), ("scan_app", "EqualTo(event_type,error)")):
+        plans.Q[name](spark, "/root/testdata/sf0.001").explain("formatted")
+        assert pushed in capsys.readouterr().out.split("PushedFilters")[1].split("ReadSchema")[0]
+
+
+def test_of_one_key_the_older_event_stays(spark):
+    from loomstream.operators.offsets import merged
+
+    kind = "lamport bigint, node string, stream_nr bigint, offset bigint, ts timestamp, x int"
+    a = spark.createDataFrame([(1, "n", 0, 0, None, 1), (2, "n", 0, 1, None, 2)], kind)
+    b = spark.createDataFrame([(2, "n", 0, 1, None, 3), (3, "n", 0, 2, None, 4)], kind)
+    assert sorted(r["x"] for r in merged(a, b).collect()) == [1, 2, 4]
