@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import values as V
+from .offsets import present
 from .tags import Where, all_events
 
 KEY_COLUMNS = ("lamport", "node", "stream_nr", "offset")
@@ -174,13 +175,20 @@ class EventFrame:
             out = f if out is empty else out.unionByName(f)
         return out.select(F.col("__key.lamport").alias("lamport"), F.col("__path").alias("path"), "stage", "severity", "message")
 
-    def response(self) -> DataFrame:
-        """Lines of a response: type, lamport, and the line itself as JSON; events in order, then diagnostics."""
+    def response(self, known: DataFrame | None = None) -> DataFrame:
+        """Lines of a response: type, lamport, and the line itself as JSON; events in order, then diagnostics, and at last, if
+        the known events are given, one line with the highest offset of each stream."""
         event = F.to_json(F.struct(F.lit("event").alias("type"), F.col("__key.lamport").alias("lamport"), F.col("__m.t0").alias("timestamp"), F.col("__m.tags").alias("tags"), F.col("__v").alias("payload")))
         lines = self.df.select(F.lit("event").alias("type"), F.col("__key.lamport").alias("lamport"), F.col("__path").alias("path"), event.alias("line"))
         d = self.diagnostics()
         bad = d.select(F.lit("diagnostic").alias("type"), "lamport", "path", F.to_json(F.struct(F.lit("diagnostic").alias("type"), "severity", "message")).alias("line"))
-        return lines.unionByName(bad)
+        out = lines.unionByName(bad)
+        if known is None:
+            return out
+        stream = F.struct(F.concat_ws("-", "node", "stream_nr").alias("key"), F.col("offset").alias("value"))
+        one = present(known).agg(F.map_from_entries(F.collect_list(stream)).alias("offsets"))  # an entry for each stream
+        line = F.to_json(F.struct(F.lit("offsets").alias("type"), "offsets"))
+        return out.unionByName(one.select(F.lit("offsets").alias("type"), F.lit(None).cast("bigint").alias("lamport"), F.lit(None).cast("array<int>").alias("path"), line.alias("line")))
 
 
 def _emission(many: bool, c: V.Cell, single: V.Cell, dtype: T.DataType, texts: bool) -> Column:

@@ -132,6 +132,38 @@ def nest_uncorrelated(outer: EventFrame, name: str, inner: EventFrame) -> EventF
     return replace(outer, df=df, names={**outer.names, name: T.ArrayType(inner.dtype)})
 
 
+def nest_array(outer: EventFrame, name: str, items: tuple, where: V.Expr | None = None, select: V.Expr | None = None, limit: int | None = None) -> EventFrame:
+    """Binds name to the values of a sub-query over an array of the row, ``FROM [a, ...b] FILTER where SELECT select LIMIT limit``;
+    ``outer`` is the row's own value.  It stays inside the row: no join.  The first error, up to the last value that
+    the limit lets through, is the row's error."""
+    source = V.array(*items).build(outer.scope())
+    of = source.dtype.elementType if isinstance(source.dtype, T.ArrayType) else T.NullType()
+    condition, chosen = V.lit(True) if where is None else V.expr(where), V.it if select is None else V.expr(select)
+
+    def cells(x: Column) -> tuple[V.Cell, V.Cell]:
+        scope = V.Scope(V.Cell(x, of, None, source.meta), {**outer.scope().names, "outer": outer.scope().it})
+        c, v = condition.build(scope), chosen.build(scope)
+        return (c if c.kind == "Bool" else replace(c, value=F.lit(False), error=V.first_error(c.error, F.lit(f"{c.kind} is not a boolean")))), v
+
+    def judged(x: Column) -> Column:
+        c, v = cells(x)
+        wrong, error = (F.lit(None).cast("string") if e is None else e for e in (c.error, v.error))
+        passes = wrong.isNull() & F.coalesce(c.value, F.lit(False))
+        return F.struct((wrong.isNotNull() | passes).alias("seen"), v.value.alias("v"), F.coalesce(wrong, F.when(passes, error)).alias("e"))
+
+    dtype = cells(F.lit(None).cast(of))[1].dtype
+    if isinstance(source.dtype, T.ArrayType):
+        seen = F.filter(F.transform(source.value, judged), lambda y: y["seen"])
+        seen = F.slice(seen, 1, limit) if limit is not None else seen
+        error = F.get(F.filter(seen, lambda y: y["e"].isNotNull()), F.lit(0))["e"]
+        values = F.transform(seen, lambda y: y["v"])
+    else:
+        error, values = F.lit(None).cast("string"), F.array().cast(T.ArrayType(dtype))
+    rows = outer.df.withColumn("__found", values).withColumn("__wrong", V.first_error(source.error, error))
+    good, failed = outer._split(rows, F.col("__wrong"), "sub-query")
+    return replace(_bound(outer, good, name, T.ArrayType(dtype)), failed=failed)
+
+
 def join_rows(outer: EventFrame, inner: EventFrame, on_tags: tuple = (), where=None, select: V.Expr | None = None) -> EventFrame:
     """A sub-query spread into rows: each inner value is a row of its own, with its own provenance."""
     joined, scope = _matched(outer, inner, [V.expr(t) for t in on_tags], where)

@@ -28,7 +28,7 @@ def normal(tag: str) -> str:
 
 @dataclass(frozen=True)
 class Atom:
-    kind: str  # tag, app, local, time, key
+    kind: str  # tag, app, me, local, time, key
     op: str = ""
     value: object = None
 
@@ -37,6 +37,8 @@ class Atom:
             return F.array_contains("tags", self.value)
         if self.kind == "app":
             return F.col("app_id") == self.value
+        if self.kind == "me":
+            raise ValueError("appId(me) needs the application that asks: see called_by")
         if self.kind == "local":
             return F.col("is_local")
         if self.kind == "time":
@@ -53,6 +55,8 @@ class Atom:
             return "'" + str(self.value).replace("'", "''") + "'"
         if self.kind == "app":
             return f"appId({self.value})"
+        if self.kind == "me":
+            return "appId(me)"
         if self.kind == "local":
             return "isLocal"
         if self.kind == "time":
@@ -107,6 +111,10 @@ class Where:
             found.append(functools.reduce(lambda a, b: a & b, parts))
         return functools.reduce(lambda a, b: a | b, found) if found else None
 
+    def called_by(self, app: str) -> Where:
+        """The selection as the application asks it: ``own_app`` is its own id."""
+        return Where(_reduced(tuple(frozenset(Atom("app", "=", app) if a.kind == "me" else a for a in c) for c in self.alternatives)))
+
     def select(self, events: DataFrame, strict: bool = True) -> DataFrame:
         return events.where((self.checked() if strict else self).predicate())
 
@@ -126,6 +134,7 @@ def _one(atom: Atom) -> Where:
 
 all_events = Where((frozenset(),))
 is_local = _one(Atom("local"))
+own_app = _one(Atom("me"))
 
 
 def tag(name: str, *ids: str) -> Where:

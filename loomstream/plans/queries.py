@@ -90,6 +90,11 @@ def scan_app(spark, d):
     return keys(ev(spark, d, S.app_id("com.example.ops")))
 
 
+@query("SELECT lamport, node FROM e WHERE app_id = 'com.example.ops' AND user_id % 4 = 0")
+def scan_own_app(spark, d):
+    return keys(ev(spark, d, (S.own_app & S.is_local).called_by("com.example.ops")))
+
+
 @query("SELECT lamport, node FROM e WHERE event_type = 'view'")
 def scan_subsumed(spark, d):
     """x | x & y is x; two applications at once select nothing."""
@@ -504,6 +509,14 @@ def subquery_nested(spark, d):
     return level2.select(spread(var("lines"))).df.select(F.col("__b_c").alias("c"), F.col("__b_o").alias("o"), F.col("__v").alias("l"))
 
 
+@query("""SELECT lamport, x * 2 + k AS v FROM (SELECT lamport, k, k AS x FROM e WHERE event_type = 'purchase'
+  UNION ALL SELECT lamport, k, user_id FROM e WHERE event_type = 'purchase' UNION ALL SELECT lamport, k, 5 FROM e WHERE event_type = 'purchase') t WHERE x > k / 2""")
+def subquery_array(spark, d):
+    """A sub-query over an array of the row."""
+    f = subqueries.nest_array(ev(spark, d, S.tag("purchase")), "x", (it.k, spread(array(it.user_id, 5))), where=it * 2 > var("outer").k, select=it * 2 + var("outer").k)
+    return f.select(spread(var("x"))).df.select(F.col("__key.lamport").alias("lamport"), F.col("__v").alias("v"))
+
+
 @query("SELECT o_orderkey AS o FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING bool_or(l_linenumber < 4)")
 def subquery_error(spark, d):
     """An error of an inner value is the error of the row."""
@@ -675,6 +688,15 @@ def response_lines(spark, d):
     return f.response().select(line["type"].alias("type"), "lamport", line["payload"].alias("payload"), line["message"].alias("message"))
 
 
+@query("""SELECT node || '-0' AS stream, max("offset") AS "offset", 1::BIGINT AS lines FROM e GROUP BY 1""")
+def response_offsets(spark, d):
+    """The last line of a response, read back."""
+    known = user_events(spark, d, offsets=True)
+    lines = EventFrame.of(known, S.tag("error")).select(it.k).response(known).where(F.col("type") == "offsets")
+    read = lines.select(F.from_json("line", "offsets map<string, bigint>")["offsets"].alias("o")).select(F.explode("o").alias("stream", "offset"))
+    return read.groupBy("stream", "offset").agg(F.count("*").alias("lines"))
+
+
 @query("SELECT app_id, true AS ok FROM e GROUP BY 1")
 def app_ids(spark, d):
     return user_events(spark, d).select("app_id", valid_app_id(F.col("app_id")).alias("ok")).distinct()

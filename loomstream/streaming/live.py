@@ -98,7 +98,7 @@ def _key(prefix: str = "") -> Column:
 
 def _wide(kind: str, dtype: T.DataType) -> T.DataType:
     """The type of an aggregate of values of a type."""
-    if kind in INVERTIBLE:
+    if kind in INVERTIBLE and not isinstance(dtype, T.BooleanType):
         return T.DecimalType(38, 0) if kind == "sum" and isinstance(dtype, (T.IntegralType, T.DecimalType)) else T.DoubleType()
     return dtype
 
@@ -116,6 +116,9 @@ def aggregating(*chain: Aggregate) -> Step:
             kind = _wide(a.kind, batch.select(a.of(F.lit(None).cast(kind)).alias("x")).schema["x"].dataType)
             types.append(kind)
         first = chain[0]
+        # Of truth values, a sum is true while some TRUE is left, a product while no FALSE is: z counts what decides.
+        logical = [a.kind in INVERTIBLE and isinstance(t, T.BooleanType) for a, t in zip(chain, types)]
+        decides = lambda a, x: F.when(x == F.lit(a.kind == "sum"), 1).otherwise(0)
         value = first.of(F.col("value"))
         wide = value.cast(types[0])
         plus, minus = ~F.col("anti"), F.col("anti")
@@ -123,9 +126,10 @@ def aggregating(*chain: Aggregate) -> Step:
         order = F.when(plus & value.isNotNull(), _order(first.kind, value, _key()))
         fed = batch.groupBy("grp").agg(
             F.count_if(plus).alias("pos"), F.count_if(minus).alias("neg"),
-            *([F.sum(F.when(minus, -wide).otherwise(wide)).cast(types[0]).alias("sum")] if first.kind == "sum" else []),
+            *([F.sum(F.when(minus, -decides(first, value)).otherwise(decides(first, value))).alias("decided")] if logical[0] else []),
+            *([F.sum(F.when(minus, -wide).otherwise(wide)).cast(types[0]).alias("sum")] if first.kind == "sum" and not logical[0] else []),
             *([F.product(F.when(plus & (wide != 0), wide)).alias("times"), F.product(F.when(minus & (wide != 0), wide)).alias("over"),
-               F.sum(F.when(wide == 0, F.when(minus, -1).otherwise(1)).otherwise(0)).alias("zeros")] if first.kind == "product" else []),
+               F.sum(F.when(wide == 0, F.when(minus, -1).otherwise(1)).otherwise(0)).alias("zeros")] if first.kind == "product" and not logical[0] else []),
             *([pick(value, order).alias("best"), pick(_key(), order).alias("at")] if first.kind not in INVERTIBLE else []),
         )
         held = [f"{x}{i}" for i in range(len(chain)) for x in ("n", "v", "z", "at", "said")]
@@ -152,7 +156,10 @@ def aggregating(*chain: Aggregate) -> Step:
                 pos, neg = (F.when(x.isNotNull(), 1).otherwise(0) for x in (new_value, old_value))
             n = n0 + pos - neg
             z, key = z0, k0
-            if a.kind == "sum":
+            if logical[i]:
+                z = z0 + (F.coalesce("decided", F.lit(0)) if not i else F.when(pos > 0, decides(a, a.of(new_value))).otherwise(0) - F.when(neg > 0, decides(a, a.of(old_value))).otherwise(0))
+                v, now = v0, F.when(n > 0, (z > 0) == F.lit(a.kind == "sum"))
+            elif a.kind == "sum":
                 gain = F.col("sum") if not i else F.coalesce(F.when(pos > 0, a.of(new_value)).cast(types[i]), F.lit(0)) - F.coalesce(F.when(neg > 0, a.of(old_value)).cast(types[i]), F.lit(0))
                 v = (F.coalesce(v0, F.lit(0)) + F.coalesce(gain, F.lit(0))).cast(types[i])
                 now = F.when(n > 0, v)

@@ -1,12 +1,16 @@
 """Offset maps, retention units, tag expressions: rules that need no table."""
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomstream.operators import tags as S
+from loomstream.operators.frame import EventFrame
 from loomstream.operators.offsets import OffsetMap
 from loomstream.operators.writing import bytes_of, seconds_of
+from loomstream.sources.events import user_events
 
 maps = st.dictionaries(st.tuples(st.sampled_from("abc"), st.integers(0, 2)), st.integers(0, 9), max_size=5).map(OffsetMap)
 
@@ -87,3 +91,15 @@ def test_of_one_key_the_older_event_stays(spark):
     a = spark.createDataFrame([(1, "n", 0, 0, None, 1), (2, "n", 0, 1, None, 2)], kind)
     b = spark.createDataFrame([(2, "n", 0, 1, None, 3), (3, "n", 0, 2, None, 4)], kind)
     assert sorted(r["x"] for r in merged(a, b).collect()) == [1, 2, 4]
+
+
+def test_own_application_and_last_line(spark):
+    with pytest.raises(ValueError):
+        S.own_app.predicate()
+    assert str(S.own_app) == "appId(me)" and str((S.own_app | S.tag("x")).called_by("a.b")) == "appId(a.b) | 'x'"
+    assert (S.own_app & S.app_id("a")).called_by("b").alternatives == ()
+    known = user_events(spark, "/root/testdata/sf0.001", offsets=True)
+    nothing = EventFrame.of(known.limit(0)).response(known.limit(0)).collect()
+    assert [json.loads(r["line"]) for r in nothing] == [{"type": "offsets", "offsets": {}}]
+    last = EventFrame.of(known.limit(0)).response(known).collect()
+    assert len(last) == 1 and sum(n + 1 for n in json.loads(last[0]["line"])["offsets"].values()) == known.count()

@@ -85,3 +85,35 @@ def test_products_are_exact(spark):
         whole = math.prod(values)
         assert [x[0] for x in f.rows().collect()] == ([whole] if whole < 2**63 else [])
         assert [x["message"] for x in f.diagnostics().collect()] == ([] if whole < 2**63 else ["integer overflow"])
+
+
+def over_arrays(spark, rows):
+    """Events with an array ``xs`` and a number ``k``."""
+    full = [(i, "n0", 0, i, ["x"], "a", True, row) for i, row in enumerate(rows, 1)]
+    kind = "lamport bigint, node string, stream_nr bigint, offset bigint, tags array<string>, app_id string, is_local boolean, payload struct<xs:array<bigint>,k:bigint>"
+    return EventFrame.of(spark.createDataFrame(full, kind).withColumn("ts", F.lit("2024-01-01").cast("timestamp")))
+
+
+def test_array_of_the_row(spark):
+    from loomstream.functions.values import spread, var
+
+    rows = [([3, 9, 4, 7], 2), ([], 1), ([1, 1], 8)]
+    f = subqueries.nest_array(over_arrays(spark, rows), "n", (spread(it.xs), it.k), where=it > var("outer").k, select=it - var("outer").k, limit=2)
+    assert "Join" not in f.df._jdf.queryExecution().optimizedPlan().toString()
+    want = {i: [x - k for x in [*xs, k] if x > k][:2] for i, (xs, k) in enumerate(rows, 1)}
+    assert {r[0]: r[1] for r in f.df.select("__key.lamport", "__b_n").collect()} == want == {1: [1, 7], 2: [], 3: []}
+    assert f.diagnostics().count() == 0
+
+
+def test_errors_over_an_array_are_the_rows(spark):
+    from loomstream.functions.values import spread
+
+    rows = [([5, 1, 9], 0), ([9, 5, 1], 0), ([9, 9], 0)]
+    three = lambda **k: subqueries.nest_array(over_arrays(spark, rows), "n", (spread(it.xs),), select=it - 4, **k)
+    assert {r[0]: r[1] for r in three().df.select("__key.lamport", "__b_n").collect()} == {3: [5, 5]}
+    assert sorted((r["lamport"], r["stage"], r["message"]) for r in three().diagnostics().collect()) == [(1, "sub-query", "integer overflow"), (2, "sub-query", "integer overflow")]
+    assert {r[0]: r[1] for r in three(limit=2).df.select("__key.lamport", "__b_n").collect()} == {2: [5, 1], 3: [5, 5]}  # the error lies beyond the limit
+    wrong = three(where=it + 1)
+    assert wrong.df.count() == 0 and {r["message"] for r in wrong.diagnostics().collect()} == {"Number is not a boolean"}
+    scalar = subqueries.nest_array(over_arrays(spark, rows), "n", (spread(it.k),))
+    assert scalar.df.count() == 0 and {r["message"] for r in scalar.diagnostics().collect()} == {"cannot spread a value of type Number"}

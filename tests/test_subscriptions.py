@@ -70,6 +70,16 @@ def test_texts_and_truth_values(feed):
     assert shown(feed(live.aggregating(Aggregate("first")), [(2, True)], [(1, False)], kind="boolean")) == [["True"], ["!True", "False"]]
 
 
+def test_sum_and_product_of_truth_values(feed):
+    """OR and AND, by counts of what decides; anti-inputs are taken from the counts."""
+    some = feed(live.aggregating(Aggregate("sum")), [(1, False)], [(2, True), (3, True)], [(2, True, True)], [(3, True, True)], [(1, False, True)], kind="boolean")
+    assert shown(some) == [["False"], ["!False", "True"], [], ["!True", "False"], ["#no value added", "!False"]]
+    every = feed(live.aggregating(Aggregate("product")), [(1, True)], [(2, False), (3, False)], [(2, False, True)], [(3, False, True)], kind="boolean")
+    assert shown(every) == [["True"], ["!True", "False"], [], ["!False", "True"]]
+    chain = live.aggregating(Aggregate("last"), Aggregate("sum", lambda v: v > 2), Aggregate("product"))
+    assert shown(feed(chain, [(1, 1)], [(2, 3)], [(3, 4)], [(4, 0)])) == [["False"], ["!False", "True"], [], ["!True", "False"]]
+
+
 def test_limit_gives_back_until_used_up(feed):
     got = feed(live.limiting(2), [(1, 1)], [(1, 1, True), (2, 2)], [(3, 3), (4, 4)], [(5, 5, True)])
     assert shown(got) == [["1"], ["!1", "2"], ["3"], ["#anti-input cannot be processed in saturated LIMIT"]]
