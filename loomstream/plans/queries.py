@@ -808,6 +808,30 @@ def subscribe_time_travel(spark, d):
     return said.select("type", "lamport")
 
 
+#: Two batches that interleave: every third event, then the others.
+_CHUNKED = """(SELECT *, (row_number() OVER (PARTITION BY batch ORDER BY lamport) - 1) // 1000 AS chunk
+FROM (SELECT *, CASE WHEN lamport % 3 = 0 THEN 1::BIGINT ELSE 2::BIGINT END AS batch FROM e))"""
+
+
+def _chunked_live(spark, d):
+    e = inputs(dense(spark, d))
+    return subscribed(spark, live.chunking(1000), [e.where("lamport % 3 = 0"), e.where("lamport % 3 <> 0")])
+
+
+@query(f"SELECT batch, chunk, lamport, node, k AS value FROM {_CHUNKED}")
+def subscribe_chunked(spark, d):
+    """Live events in chunks of at most 1,000, each in order of key."""
+    number = F.col("seq")
+    return _chunked_live(spark, d).select((number / live.LINES).cast("bigint").alias("batch"), (number % live.LINES).alias("chunk"), "lamport", "node", "value")
+
+
+@query(f"""SELECT batch, chunk, node, min("offset") - 1 AS lower, max("offset") AS upper, count(*) AS events FROM {_CHUNKED} GROUP BY 1, 2, 3""")
+def subscribe_chunk_bounds(spark, d):
+    """The offsets of each stream that a chunk of a subscription covers."""
+    said = live.delivered_bounds(_chunked_live(spark, d))
+    return said.select(F.floor(F.col("seq") / live.LINES).alias("batch"), (F.col("seq") % live.LINES).alias("chunk"), "node", "lower", "upper", "events")
+
+
 @query("""SELECT lamport, node FROM e WHERE NOT (node = 'n1' AND "offset" <= 20)""")
 def subscribe_above(spark, d):
     """Known events above a lower bound, then those that come: half of the events are known at the start, and all come again."""

@@ -14,6 +14,8 @@ Steps:
 ``limiting``      LIMIT n of each group, in order of key; an anti-input gives one back unless all are used up.
 ``monotonic``     events in order of key.  One at or below the last key passed gives ``timeTravel`` with the earliest such key,
                   and the subscription ends.  The last event of each batch is marked ``caught_up``.
+``chunking``      each batch in order of key, cut into chunks of so many events at most; events of one chunk share ``seq``.  The
+                  trigger's interval is the longest that an event waits for its chunk.
 
 A group stands for a subscription of its own; a query over everything has one group.  State is one row a group.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.offsets import OffsetMap, present, within
+from ..operators.offsets import OffsetMap, chunks, present, within
 
 KEY = ("lamport", "node", "stream_nr")
 INVERTIBLE = ("sum", "product")
@@ -266,6 +268,23 @@ def monotonic(latest: tuple[int, str, int] | None = None) -> Step:
     return step
 
 
+def chunking(size: int = 1000) -> Step:
+    """For batches of (lamport, node, stream_nr, offset, value).  A batch without events gives no chunk."""
+    if size < 1:
+        raise ValueError("a chunk has at least one event")
+
+    def step(batch: DataFrame, before: DataFrame | None, version: int) -> DataFrame:
+        line = F.struct(F.col("chunk").cast("int").alias("pos"), F.lit("event").alias("type"), *KEY, "offset", "value")
+        return chunks(batch, size).select(F.lit("chunk").alias("grp"), F.lit(True).alias("touched"), F.array(line).alias("lines"))
+
+    return step
+
+
+def delivered_bounds(said: DataFrame) -> DataFrame:
+    """seq, node, stream_nr, and the offsets (lower exclusive, upper inclusive) of each delivered chunk's part of a stream."""
+    return said.groupBy("seq", "node", "stream_nr").agg((F.min("offset") - 1).alias("lower"), F.max("offset").alias("upper"), F.count("*").alias("events"))
+
+
 def time_travel_before(events: DataFrame, known: OffsetMap, latest: tuple[int, str, int]) -> DataFrame:
     """lamport, node, stream_nr of the earliest event that known does not hold and that lies at or below the key a caller has
     reached; no row if there is none.  A subscription that goes on from a cached state asks this first."""

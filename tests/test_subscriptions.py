@@ -132,3 +132,15 @@ def test_subscriptions_take_events_to_the_last(spark, monkeypatch):
     summed = plans._net(plans.subscribed(spark, live.aggregating(Aggregate("sum")), plans.slices_of(plans.inputs(e))))
     assert int(summed.first()["value"]) == sum(i % 7 for i in range(12_000))
     assert plans.subscribed(spark, live.monotonic(), plans.slices_of(plans.inputs(e.where("false")))).count() == 0
+
+
+def test_chunks_as_they_come(feed, spark):
+    """Batches of 5, 0 and 2 events in chunks of two, each in order of key whatever the order in the batch."""
+    got = feed(live.chunking(2), [(9, 90), (1, 10), (5, 50), (3, 30), (7, 70)], [], [(4, 40), (2, 20)])
+    chunks = [[(r["seq"] % live.LINES, r["lamport"], r["value"]) for r in b] for b in got]
+    assert chunks == [[(0, 1, 10), (0, 3, 30), (1, 5, 50), (1, 7, 70), (2, 9, 90)], [], [(0, 2, 20), (0, 4, 40)]]
+    rows = spark.createDataFrame([(0, "a", 0, 3), (0, "a", 0, 4), (0, "b", 0, 0), (1, "a", 0, 5)], "seq bigint, node string, stream_nr bigint, offset bigint")
+    bounds = sorted(tuple(r) for r in live.delivered_bounds(rows).collect())
+    assert bounds == [(0, "a", 0, 2, 4, 2), (0, "b", 0, -1, 0, 1), (1, "a", 0, 4, 5, 1)]
+    with pytest.raises(ValueError):
+        live.chunking(0)
