@@ -1,8 +1,8 @@
 """Subscriptions that keep their state in tables: one plan a micro-batch, nothing row by row.
 
 ``Subscription`` runs a step for what is known (the catch-up) and then for every micro-batch of a stream.  A step gets the batch
-and the state so far and gives the new state, in which the lines to say are held; both are written under the number of the
-batch in the shared folder, so that a batch that is run again after a failure overwrites what it wrote before.
+and the state so far and gives the new state, in which the lines to say are held; both are written in one job under the number of
+the batch in the shared folder, so that a batch that is run again after a failure overwrites what it wrote before.
 
 Steps:
 
@@ -22,7 +22,7 @@ A group stands for a subscription of its own; a query over everything has one gr
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -54,24 +54,34 @@ class Subscription:
 
     def __init__(self, path: str, step: Step):
         self.path, self.step = path, step
+        self._schema: T.StructType | None = None  # of what a batch writes, once there was one
+
+    def _place(self, spark, version: int, name: str):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/taken/version={version}/{name}")
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
     def _forget(self, spark, version: int) -> None:
         """Deletes a state that no batch can need any more."""
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v{version}")
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        files, place = self._place(spark, version, "held=state")
+        files.delete(place, True)
 
     def _state(self, spark, version: int) -> DataFrame | None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/state/v{version}/_SUCCESS")
-        there = version >= 0 and place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-        return spark.read.parquet(f"{self.path}/state/v{version}") if there else None
+        for name in ("_SUCCESS", "held=state"):
+            files, place = self._place(spark, version, name)
+            if version < 0 or not files.exists(place):
+                return None
+        reader = spark.read.schema(self._schema) if self._schema is not None else spark.read
+        return reader.parquet(f"{self.path}/taken/version={version}/held=state")
 
     def _take(self, batch: DataFrame, version: int) -> None:
+        """Writes the new state, and beside it the lines of the groups that say something, in one job."""
         spark = batch.sparkSession
         new = self.step(batch, self._state(spark, version - 1), version)
-        new.write.mode("overwrite").parquet(f"{self.path}/state/v{version}")
-        lines = spark.read.schema(new.schema).parquet(f"{self.path}/state/v{version}").where("touched").select("grp", F.explode("lines").alias("line")).select("grp", "line.*")
-        said = lines.select("grp", (F.lit(version * LINES) + F.col("pos")).cast("bigint").alias("seq"), *(c for c in lines.columns if c not in ("grp", "pos")))
-        said.write.mode("overwrite").parquet(f"{self.path}/said/version={version}")
+        self._schema = new.schema
+        state, said = F.lit("state"), F.lit("said")
+        both = new.select("*", F.explode(F.when(F.col("touched") & (F.size("lines") > 0), F.array(state, said)).otherwise(F.array(state))).alias("held"))
+        of = lambda c: F.col(c) if c in ("grp", "touched") else F.when(F.col("held") == (said if c == "lines" else state), F.col(c)).alias(c)
+        both.select(*(of(c) for c in new.columns), "held").write.mode("overwrite").partitionBy("held").parquet(f"{self.path}/taken/version={version}")
         if version > 1:
             self._forget(spark, version - 2)
 
@@ -82,16 +92,29 @@ class Subscription:
         here = OffsetMap({(r["node"], r["stream_nr"]): r["offset"] for r in present(known).collect()})  # a row for each stream
         return here | lower if lower is not None else here
 
+    def _start(self, stream: DataFrame, after: OffsetMap | None, **trigger):
+        rows = within(stream, lower=after) if after is not None else stream
+        out = rows.writeStream.foreachBatch(lambda batch, number: self._take(batch, number + 1)).option("checkpointLocation", f"{self.path}/checkpoint")
+        return (out.trigger(**trigger) if trigger else out).start()
+
     def run(self, stream: DataFrame, after: OffsetMap | None = None) -> DataFrame:
         """Takes what is in the stream now, from where it was left; of each stream of events, what lies after the given
         offsets.  Gives all that was said so far."""
-        rows = within(stream, lower=after) if after is not None else stream
-        run = rows.writeStream.foreachBatch(lambda batch, number: self._take(batch, number + 1)).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
-        run.awaitTermination()
+        self._start(stream, after, availableNow=True).awaitTermination()
+        return self.said(stream.sparkSession)
+
+    def follow(self, stream: DataFrame, arrivals: Iterable[object], after: OffsetMap | None = None) -> DataFrame:
+        """As run, but stays with the stream while events come: after each arrival, takes what has come into the stream."""
+        followed(self._start(stream, after), arrivals)
         return self.said(stream.sparkSession)
 
     def said(self, spark) -> DataFrame:
-        return spark.read.option("mergeSchema", "false").option("basePath", f"{self.path}/said").parquet(f"{self.path}/said").drop("version")
+        reader = spark.read.option("mergeSchema", "false")
+        if self._schema is not None:
+            reader = reader.schema(T.StructType([*self._schema, T.StructField("held", T.StringType()), T.StructField("version", T.LongType())]))
+        lines = reader.parquet(f"{self.path}/taken").where("held = 'said'").select("grp", "version", F.explode("lines").alias("line")).select("grp", "version", "line.*")
+        seq = (F.col("version").cast("bigint") * LINES + F.col("pos")).alias("seq")
+        return lines.select("grp", seq, *(c for c in lines.columns if c not in ("grp", "version", "pos")))
 
 
 def _key(prefix: str = "") -> Column:
@@ -112,7 +135,8 @@ def _same(a: Column, b: Column) -> Column:
 def aggregating(*chain: Aggregate) -> Step:
     """For batches of (grp, lamport, node, stream_nr, value, anti)."""
 
-    def step(batch: DataFrame, before: DataFrame | None, version: int) -> DataFrame:
+    def made(batch: DataFrame, known: bool) -> tuple[list[Column], list[Column]]:
+        """What a batch is summed up by, and the new state of a group; known: there is a state already."""
         types, kind = [], batch.schema["value"].dataType
         for a in chain:
             kind = _wide(a.kind, batch.select(a.of(F.lit(None).cast(kind)).alias("x")).schema["x"].dataType)
@@ -126,18 +150,15 @@ def aggregating(*chain: Aggregate) -> Step:
         plus, minus = ~F.col("anti"), F.col("anti")
         pick = F.min_by if first.kind in ("first", "min") else F.max_by
         order = F.when(plus & value.isNotNull(), _order(first.kind, value, _key()))
-        fed = batch.groupBy("grp").agg(
+        fed = [
             F.count_if(plus).alias("pos"), F.count_if(minus).alias("neg"),
             *([F.sum(F.when(minus, -decides(first, value)).otherwise(decides(first, value))).alias("decided")] if logical[0] else []),
             *([F.sum(F.when(minus, -wide).otherwise(wide)).cast(types[0]).alias("sum")] if first.kind == "sum" and not logical[0] else []),
             *([F.product(F.when(plus & (wide != 0), wide)).alias("times"), F.product(F.when(minus & (wide != 0), wide)).alias("over"),
                F.sum(F.when(wide == 0, F.when(minus, -1).otherwise(1)).otherwise(0)).alias("zeros")] if first.kind == "product" and not logical[0] else []),
             *([pick(value, order).alias("best"), pick(_key(), order).alias("at")] if first.kind not in INVERTIBLE else []),
-        )
-        held = [f"{x}{i}" for i in range(len(chain)) for x in ("n", "v", "z", "at", "said")]
-        old = before.select("grp", "dead", *held) if before is not None else None
-        rows = fed.join(old, "grp", "full") if old is not None else fed
-        has = lambda name: F.col(name) if old is not None else F.lit(None)
+        ]
+        has = lambda name: F.col(name) if known else F.lit(None)
         touched = F.col("pos").isNotNull()
         dead = F.coalesce(has("dead").cast("boolean"), F.lit(False))
         live = touched & ~dead
@@ -192,7 +213,18 @@ def aggregating(*chain: Aggregate) -> Step:
             new_value, old_value, at = F.when(changed, now), F.when(changed, said0), key
         lines.append(F.when(old_value.isNotNull(), line(4 * len(chain), "antiEvent", old_value)))
         lines.append(F.when(new_value.isNotNull(), line(4 * len(chain) + 1, "event", new_value)))
-        return rows.select("grp", (dead | (live & failed)).alias("dead"), touched.alias("touched"), *(c.alias(name) for name, c in columns.items()), F.array_compact(F.array(*lines)).alias("lines"))
+        return fed, [F.col("grp"), (dead | (live & failed)).alias("dead"), touched.alias("touched"), *(c.alias(name) for name, c in columns.items()), F.array_compact(F.array(*lines)).alias("lines")]
+
+    held = [f"{x}{i}" for i in range(len(chain)) for x in ("n", "v", "z", "at", "said")]
+    kept: dict[tuple[str, bool], tuple[list[Column], list[Column]]] = {}
+
+    def step(batch: DataFrame, before: DataFrame | None, version: int) -> DataFrame:
+        case = (batch.schema["value"].dataType.simpleString(), before is not None)
+        if case not in kept:  # the same for every batch
+            kept[case] = made(batch, before is not None)
+        fed, columns = kept[case]
+        rows = batch.groupBy("grp").agg(*fed)
+        return (rows.join(before.select("grp", "dead", *held), "grp", "full") if before is not None else rows).select(*columns)
 
     return step
 
@@ -293,9 +325,21 @@ def time_travel_before(events: DataFrame, known: OffsetMap, latest: tuple[int, s
     return new.agg(F.min(_key()).alias("k")).where(F.col("k").isNotNull()).select("k.*")
 
 
-def run_to_table(stream: DataFrame, checkpoint: str, path: str) -> DataFrame:
-    """Runs a stream without state over all that is there now into Parquet files, and gives what it said in all runs with this
-    checkpoint."""
-    run = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
+def followed(query, arrivals: Iterable[object]) -> None:
+    """Lets a running query take each arrival before the next one comes, and ends it after the last."""
+    try:
+        for _ in arrivals:
+            query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def run_to_table(stream: DataFrame, checkpoint: str, path: str, arrivals: Iterable[object] | None = None) -> DataFrame:
+    """Runs a stream without state into Parquet files, over all that is there now or over arrivals one after another, and gives what
+    it said in all runs with this checkpoint."""
+    out = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    if arrivals is None:
+        out.trigger(availableNow=True).start().awaitTermination()
+    else:
+        followed(out.start(), arrivals)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
