@@ -281,11 +281,11 @@ def monotonic(latest: tuple[int, str, int] | None = None) -> Step:
     def step(batch: DataFrame, before: DataFrame | None, version: int) -> DataFrame:
         key = _key()
         kind = "struct<lamport:bigint,node:string,stream_nr:bigint>"
-        held = before.where("grp = 'clock'").select("at", "over").first() if before is not None else None  # one row
-        at, over = (held["at"], held["over"]) if held is not None else (latest, False)
+        ends = batch.agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        ends = ends.crossJoin(F.broadcast(before.where("grp = 'clock'").select("at", "over"))).first() if before is not None else ends.first()  # one row
+        at, over = (ends["at"], ends["over"]) if before is not None else (latest, False)
         none = F.lit(None).cast(kind)
         clock = none if at is None else F.struct(*(F.lit(x).alias(k) for k, x in zip(KEY, at))).cast(kind)
-        ends = batch.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()  # one row
         late = at is not None and ends["low"] is not None and tuple(ends["low"]) <= tuple(at)
         value = batch.schema["value"].dataType
         line = lambda type_, caught: F.array(F.struct(F.lit(0).alias("pos"), F.lit(type_).alias("type"), *KEY, F.col("value").cast(value).alias("value"), caught.alias("caught_up")))
