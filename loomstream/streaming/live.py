@@ -326,8 +326,9 @@ def time_travel_before(events: DataFrame, known: OffsetMap, latest: tuple[int, s
 
 
 def followed(query, arrivals: Iterable[object]) -> None:
-    """Lets a running query take each arrival before the next one comes, and ends it after the last."""
+    """Lets a running query take what is there, and then each arrival before the next one comes; ends it after the last."""
     try:
+        query.processAllAvailable()
         for _ in arrivals:
             query.processAllAvailable()
     finally:
