@@ -55,6 +55,7 @@ class Subscription:
     def __init__(self, path: str, step: Step):
         self.path, self.step = path, step
         self._schema: T.StructType | None = None  # of what a batch writes, once there was one
+        self._written: tuple[Column, list[Column]] | None = None  # the columns that write it
 
     def _place(self, spark, version: int, name: str):
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/taken/version={version}/{name}")
@@ -77,11 +78,13 @@ class Subscription:
         """Writes the new state, and beside it the lines of the groups that say something, in one job."""
         spark = batch.sparkSession
         new = self.step(batch, self._state(spark, version - 1), version)
-        self._schema = new.schema
-        state, said = F.lit("state"), F.lit("said")
-        both = new.select("*", F.explode(F.when(F.col("touched") & (F.size("lines") > 0), F.array(state, said)).otherwise(F.array(state))).alias("held"))
-        of = lambda c: F.col(c) if c in ("grp", "touched") else F.when(F.col("held") == (said if c == "lines" else state), F.col(c)).alias(c)
-        both.select(*(of(c) for c in new.columns), "held").write.mode("overwrite").partitionBy("held").parquet(f"{self.path}/taken/version={version}")
+        if self._written is None or self._schema != new.schema:
+            state, said = F.lit("state"), F.lit("said")
+            of = lambda c: F.col(c) if c in ("grp", "touched") else F.when(F.col("held") == (said if c == "lines" else state), F.col(c)).alias(c)
+            held = F.explode(F.when(F.col("touched") & (F.size("lines") > 0), F.array(state, said)).otherwise(F.array(state))).alias("held")
+            self._schema, self._written = new.schema, (held, [*(of(c) for c in new.columns), F.col("held")])
+        held, columns = self._written
+        new.select("*", held).select(*columns).write.mode("overwrite").partitionBy("held").parquet(f"{self.path}/taken/version={version}")
         if version > 1:
             self._forget(spark, version - 2)
 
@@ -135,8 +138,9 @@ def _same(a: Column, b: Column) -> Column:
 def aggregating(*chain: Aggregate) -> Step:
     """For batches of (grp, lamport, node, stream_nr, value, anti)."""
 
-    def made(batch: DataFrame, known: bool) -> tuple[list[Column], list[Column]]:
-        """What a batch is summed up by, and the new state of a group; known: there is a state already."""
+    def made(batch: DataFrame, known: bool) -> tuple[list[Column], list[list[Column]], list[Column]]:
+        """What a batch is summed up by, the columns to add one list after another, and the new state of a group; known: there is a
+        state already.  What a later expression uses more than once is a column, so that a plan grows no faster than the chain."""
         types, kind = [], batch.schema["value"].dataType
         for a in chain:
             kind = _wide(a.kind, batch.select(a.of(F.lit(None).cast(kind)).alias("x")).schema["x"].dataType)
@@ -162,6 +166,7 @@ def aggregating(*chain: Aggregate) -> Step:
         touched = F.col("pos").isNotNull()
         dead = F.coalesce(has("dead").cast("boolean"), F.lit(False))
         live = touched & ~dead
+        stages: list[list[Column]] = []
         columns: dict[str, Column] = {}
         lines: list[Column] = []
         line = lambda pos, type_, value, severity=None, message=None: F.struct(
@@ -178,14 +183,13 @@ def aggregating(*chain: Aggregate) -> Step:
             if i:
                 pos, neg = (F.when(x.isNotNull(), 1).otherwise(0) for x in (new_value, old_value))
             n = n0 + pos - neg
-            z, key = z0, k0
+            z, key, result = z0, k0, lambda v, z: v
             if logical[i]:
                 z = z0 + (F.coalesce("decided", F.lit(0)) if not i else F.when(pos > 0, decides(a, a.of(new_value))).otherwise(0) - F.when(neg > 0, decides(a, a.of(old_value))).otherwise(0))
-                v, now = v0, F.when(n > 0, (z > 0) == F.lit(a.kind == "sum"))
+                v, result = v0, lambda v, z, some=F.lit(a.kind == "sum"): (z > 0) == some
             elif a.kind == "sum":
                 gain = F.col("sum") if not i else F.coalesce(F.when(pos > 0, a.of(new_value)).cast(types[i]), F.lit(0)) - F.coalesce(F.when(neg > 0, a.of(old_value)).cast(types[i]), F.lit(0))
                 v = (F.coalesce(v0, F.lit(0)) + F.coalesce(gain, F.lit(0))).cast(types[i])
-                now = F.when(n > 0, v)
             elif a.kind == "product":
                 if i:
                     x, y = (F.when(c > 0, a.of(w)).cast("double") for c, w in ((pos, new_value), (neg, old_value)))
@@ -195,36 +199,42 @@ def aggregating(*chain: Aggregate) -> Step:
                     times, over, zeros = F.col("times"), F.col("over"), F.coalesce("zeros", F.lit(0))
                 z = z0 + zeros
                 v = F.coalesce(v0, F.lit(1.0)) * F.coalesce(times, F.lit(1.0)) / F.coalesce(over, F.lit(1.0))
-                now = F.when(n > 0, F.when(z > 0, 0.0).otherwise(v))
+                result = lambda v, z: F.when(z > 0, 0.0).otherwise(v)
             else:
                 best, place = (F.col("best"), F.col("at")) if not i else (F.when(pos > 0, a.of(new_value)), at)
                 own, other = _order(a.kind, best, place), _order(a.kind, v0, k0)
                 better = best.isNotNull() & (v0.isNull() | (own < other if a.kind in ("first", "min") else own > other))
                 v, key = F.when(better, best).otherwise(v0), F.when(better, place).otherwise(k0)
-                now = F.when(n > 0, v)
             bad = live & ~failed & (neg > 0) & F.lit(a.kind not in INVERTIBLE)
-            going = live & ~failed & ~bad
+            stages.append([n.alias(f"__n{i}"), z.alias(f"__z{i}"), v.cast(types[i]).alias(f"__v{i}"), key.alias(f"__at{i}"), bad.alias(f"__bad{i}"), (live & ~failed & ~bad).alias(f"__going{i}")])
+            n, z, v, key, bad, going = (F.col(f"__{x}{i}") for x in ("n", "z", "v", "at", "bad", "going"))
+            now = F.when(n > 0, result(v, z))
             changed = going & ~_same(now, said0)
+            stages.append([F.when(changed, now).alias(f"__new{i}"), F.when(changed, said0).alias(f"__old{i}")])
             keep = lambda new, was: F.when(going, new).otherwise(was)
             columns |= {f"n{i}": keep(n, n0), f"v{i}": keep(v, v0).cast(types[i]), f"z{i}": keep(z, z0), f"at{i}": keep(key, k0).cast(key_type), f"said{i}": keep(now, said0).cast(types[i])}
             lines.append(F.when(bad, line(4 * i, "diagnostic", none, "error", f"anti-input cannot be processed in {a.kind.upper()}()")))
             lines.append(F.when(going & (n <= 0), line(4 * i + 1, "diagnostic", none, "warning", "no value added")))
             failed = failed | bad
-            new_value, old_value, at = F.when(changed, now), F.when(changed, said0), key
+            new_value, old_value, at = F.col(f"__new{i}"), F.col(f"__old{i}"), key
         lines.append(F.when(old_value.isNotNull(), line(4 * len(chain), "antiEvent", old_value)))
         lines.append(F.when(new_value.isNotNull(), line(4 * len(chain) + 1, "event", new_value)))
-        return fed, [F.col("grp"), (dead | (live & failed)).alias("dead"), touched.alias("touched"), *(c.alias(name) for name, c in columns.items()), F.array_compact(F.array(*lines)).alias("lines")]
+        return fed, stages, [F.col("grp"), (dead | (live & failed)).alias("dead"), touched.alias("touched"), *(c.alias(name) for name, c in columns.items()), F.array_compact(F.array(*lines)).alias("lines")]
 
     held = [f"{x}{i}" for i in range(len(chain)) for x in ("n", "v", "z", "at", "said")]
-    kept: dict[tuple[str, bool], tuple[list[Column], list[Column]]] = {}
+    kept: dict[tuple[str, bool], tuple[list[Column], list[list[Column]], list[Column]]] = {}
 
     def step(batch: DataFrame, before: DataFrame | None, version: int) -> DataFrame:
         case = (batch.schema["value"].dataType.simpleString(), before is not None)
         if case not in kept:  # the same for every batch
             kept[case] = made(batch, before is not None)
-        fed, columns = kept[case]
+        fed, stages, columns = kept[case]
         rows = batch.groupBy("grp").agg(*fed)
-        return (rows.join(before.select("grp", "dead", *held), "grp", "full") if before is not None else rows).select(*columns)
+        if before is not None:
+            rows = rows.join(before.select("grp", "dead", *held), "grp", "full")
+        for stage in stages:
+            rows = rows.select("*", *stage)
+        return rows.select(*columns)
 
     return step
 
