@@ -75,14 +75,16 @@ class Subscription:
         return reader.parquet(f"{self.path}/taken/version={version}/held=state")
 
     def _take(self, batch: DataFrame, version: int) -> None:
-        """Writes the new state, and beside it the lines of the groups that say something, in one job."""
+        """Writes the new state, and beside it the lines of the groups that say something, in one job.  Rows that a step marks as
+        ``passing`` only say something: they are no state."""
         spark = batch.sparkSession
         new = self.step(batch, self._state(spark, version - 1), version)
         if self._written is None or self._schema != new.schema:
             state, said = F.lit("state"), F.lit("said")
             of = lambda c: F.col(c) if c in ("grp", "touched") else F.when(F.col("held") == (said if c == "lines" else state), F.col(c)).alias(c)
-            held = F.explode(F.when(F.col("touched") & (F.size("lines") > 0), F.array(state, said)).otherwise(F.array(state))).alias("held")
-            self._schema, self._written = new.schema, (held, [*(of(c) for c in new.columns), F.col("held")])
+            passing = F.col("passing") if "passing" in new.columns else F.lit(False)
+            says = F.when(passing, F.array(said)).when(F.col("touched") & (F.size("lines") > 0), F.array(state, said)).otherwise(F.array(state))
+            self._schema, self._written = new.schema, (F.explode(says).alias("held"), [*(of(c) for c in new.columns), F.col("held")])
         held, columns = self._written
         new.select("*", held).select(*columns).write.mode("overwrite").partitionBy("held").parquet(f"{self.path}/taken/version={version}")
         if version > 1:
@@ -302,9 +304,9 @@ def monotonic(latest: tuple[int, str, int] | None = None) -> Step:
         said = batch.limit(0) if over else batch.orderBy(*KEY).limit(1) if late else batch
         high = F.struct(*(F.lit(x).alias(k) for k, x in zip(KEY, ends["high"] or (None,) * 3))).cast(kind)
         lines = line("timeTravel", F.lit(False)) if late else line("event", key == high)
-        rows = said.select(F.lit("line").alias("grp"), none.alias("at"), F.lit(False).alias("over"), F.lit(True).alias("touched"), lines.alias("lines"))
+        rows = said.select(F.lit("line").alias("grp"), none.alias("at"), F.lit(False).alias("over"), F.lit(True).alias("touched"), F.lit(True).alias("passing"), lines.alias("lines"))
         after = clock if ends["high"] is None or late or over else high
-        row = batch.sparkSession.range(1).select(F.lit("clock").alias("grp"), after.alias("at"), F.lit(bool(over or late)).alias("over"), F.lit(False).alias("touched"), F.lit(None).cast(rows.schema["lines"].dataType).alias("lines"))
+        row = batch.sparkSession.range(1).select(F.lit("clock").alias("grp"), after.alias("at"), F.lit(bool(over or late)).alias("over"), F.lit(False).alias("touched"), F.lit(False).alias("passing"), F.lit(None).cast(rows.schema["lines"].dataType).alias("lines"))
         return rows.unionByName(row)
 
     return step
@@ -317,7 +319,7 @@ def chunking(size: int = 1000) -> Step:
 
     def step(batch: DataFrame, before: DataFrame | None, version: int) -> DataFrame:
         line = F.struct(F.col("chunk").cast("int").alias("pos"), F.lit("event").alias("type"), *KEY, "offset", "value")
-        return chunks(batch, size).select(F.lit("chunk").alias("grp"), F.lit(True).alias("touched"), F.array(line).alias("lines"))
+        return chunks(batch, size).select(F.lit("chunk").alias("grp"), F.lit(True).alias("touched"), F.lit(True).alias("passing"), F.array(line).alias("lines"))
 
     return step
 
